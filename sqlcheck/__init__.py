@@ -5,5 +5,6 @@ from __future__ import annotations
 
 def oracle() -> dict[str, str]:
     from sqlcheck.answers import ANSWERS
+    from sqlcheck.provenance import PROVENANCE
 
-    return dict(ANSWERS)
+    return ANSWERS | PROVENANCE

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from sumtrace.operators import provenance
+from sumtrace.operators.terms import RELEASES, release_terms, terms
 from sumtrace.plans.catalog import QUERIES, answer
 from sumtrace.sources.tables import Tables
 
+PROFILE = "small"
+ALL = list(RELEASES)
+# Releases that share lines and stock rows; audited together.
+DESK = ["q03", "q07", "q09", "q10", "q11", "q15", "q17", "q18", "q19", "q22"]
+
+Build = Callable[[Tables], DataFrame]
+
+
+def _answers() -> dict[str, Build]:
+    return {n: lambda t, n=n: answer(t, n, PROFILE) for n in sorted(QUERIES)}
+
+
+def _provenance() -> dict[str, Build]:
+    listed = {
+        f"prov_terms_{n}": lambda t, n=n: provenance.listing(release_terms(t, n, PROFILE))
+        for n in ALL
+    }
+    return listed | {
+        "prov_render": lambda t: provenance.render(terms(t, ALL, PROFILE)),
+        "prov_eval": lambda t: provenance.evaluation_report(t, ALL, PROFILE),
+        "prov_vars": lambda t: provenance.variables_used(terms(t, ALL, PROFILE)),
+        "prov_coverage": lambda t: provenance.coverage(terms(t, ALL, PROFILE)),
+    }
+
 
-def queries():
-    def run(name):
-        def call(spark: SparkSession, folder: str) -> DataFrame:
-            return answer(Tables(spark, folder), name, "small")
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    builds = _answers() | _provenance()
 
-        return call
+    def over_folder(build: Build):
+        return lambda spark, folder: build(Tables(spark, folder))
 
-    return {name: run(name) for name in sorted(QUERIES)}
+    return {name: over_folder(build) for name, build in builds.items()}
