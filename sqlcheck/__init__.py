@@ -5,6 +5,7 @@ from __future__ import annotations
 
 def oracle() -> dict[str, str]:
     from sqlcheck.answers import ANSWERS
+    from sqlcheck.audit import AUDIT
     from sqlcheck.provenance import PROVENANCE
 
-    return ANSWERS | PROVENANCE
+    return ANSWERS | PROVENANCE | AUDIT

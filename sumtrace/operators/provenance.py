@@ -90,6 +90,11 @@ def evaluate(tables, query: str, profile: str = "standard") -> DataFrame:
     )
 
 
+def released_values(tables, names, profile: str = "standard") -> DataFrame:
+    """Released (fn, output, value, divisor, unit) of several queries."""
+    return reduce(DataFrame.unionByName, [released(tables, n, profile) for n in names])
+
+
 def evaluation_report(tables, names, profile: str = "standard") -> DataFrame:
     """Per released column: functions, terms, greatest error, and whether all agree."""
     parts = [

@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sumtrace.operators import provenance
+from sumtrace.operators import interchange, jacobian, provenance, reconstruct
+from sumtrace.operators.components import function_components
+from sumtrace.operators.determined import determined, determined_after
+from sumtrace.operators.report import audit_log
 from sumtrace.operators.terms import RELEASES, release_terms, terms
 from sumtrace.plans.catalog import QUERIES, answer
+from sumtrace.session import cut
 from sumtrace.sources.tables import Tables
 
 PROFILE = "small"
 ALL = list(RELEASES)
 # Releases that share lines and stock rows; audited together.
 DESK = ["q03", "q07", "q09", "q10", "q11", "q15", "q17", "q18", "q19", "q22"]
+# With the shipped quantities, many of which are a single line's.
+SHIPPING = DESK + ["q20_shipped"]
+# Currency in 10 000, rates as fractions, quantities in tens.
+UNITS = {"x8": 1e6, "x9": 100.0, "x7": 10.0}
 
 Build = Callable[[Tables], DataFrame]
 
@@ -36,8 +45,49 @@ def _provenance() -> dict[str, Build]:
     }
 
 
+def _jac(t: Tables, names: list[str]) -> DataFrame:
+    return jacobian.jacobian(terms(t, names, PROFILE))
+
+
+def _incremental(t: Tables) -> DataFrame:
+    """Stored releases first, then the large orders and shipped quantities on top."""
+    stored = cut(_jac(t, ["q03", "q09", "q10"]))
+    known = determined(stored)
+    return determined_after(known, stored, _jac(t, ["q18", "q20_shipped"]))
+
+
+def _reconstruct(t: Tables) -> DataFrame:
+    """Three rounds of gradient descent on the revenues of q03 and q10, in 10 000."""
+    names = ["q03", "q10"]
+    scaled = reconstruct.rescaled(terms(t, names, PROFILE), UNITS)
+    scaled = scaled.withColumn("coef", F.col("coef") / 1e8)
+    targets = provenance.released_values(t, names, PROFILE).select(
+        "fn", (F.col("value") / 1e4).alias("target")
+    )
+    state, _ = reconstruct.descend(scaled, targets, rounds=3)
+    return state.select("var", F.round("x", 6).alias("x"))
+
+
+def _audit() -> dict[str, Build]:
+    return {
+        "audit_jacobian": lambda t: _jac(t, SHIPPING),
+        "audit_singleton": lambda t: jacobian.singletons(_jac(t, SHIPPING)),
+        "audit_components": lambda t: function_components(_jac(t, SHIPPING)),
+        "audit_candidates": lambda t: jacobian.candidates(_jac(t, SHIPPING)),
+        "audit_real": lambda t: determined(_jac(t, SHIPPING)),
+        "audit_incremental": _incremental,
+        "audit_interchange": lambda t: interchange.exchange_report(terms(t, DESK, PROFILE)),
+        "audit_interchange_multi": lambda t: interchange.exchangeable(
+            terms(t, DESK, PROFILE)
+        ).drop("scope"),
+        "audit_join_groups": lambda t: interchange.join_groups(terms(t, ["q09", "q11"], PROFILE)),
+        "audit_reconstruct": _reconstruct,
+        "audit_log": lambda t: audit_log(t, ALL, PROFILE),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    builds = _answers() | _provenance()
+    builds = _answers() | _provenance() | _audit()
 
     def over_folder(build: Build):
         return lambda spark, folder: build(Tables(spark, folder))
