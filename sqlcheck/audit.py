@@ -36,9 +36,9 @@ CANDIDATES = f"""WITH {_jac(SHIPPING)},
 COMPONENTS = f"""WITH RECURSIVE {_jac(SHIPPING)},
     hub AS (SELECT var, MIN(fn) AS hub FROM jac GROUP BY var HAVING COUNT(*) > 1),
     link AS (SELECT DISTINCT fn AS a, hub AS b FROM jac JOIN hub USING (var) WHERE fn <> hub),
-    both AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    pairs AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
     reach AS (SELECT DISTINCT fn AS node, fn AS other FROM jac
-              UNION SELECT node, b FROM reach JOIN both ON other = a)
+              UNION SELECT node, b FROM reach JOIN pairs ON other = a)
     SELECT node AS fn, MIN(other) AS component FROM reach GROUP BY node"""
 
 

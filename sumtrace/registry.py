@@ -72,7 +72,7 @@ def _audit() -> dict[str, Build]:
     return {
         "audit_jacobian": lambda t: _jac(t, SHIPPING),
         "audit_singleton": lambda t: jacobian.singletons(_jac(t, SHIPPING)),
-        "audit_components": lambda t: function_components(_jac(t, SHIPPING)),
+        "audit_components": lambda t: function_components(cut(_jac(t, SHIPPING))),
         "audit_candidates": lambda t: jacobian.candidates(_jac(t, SHIPPING)),
         "audit_real": lambda t: determined(_jac(t, SHIPPING)),
         "audit_incremental": _incremental,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sumtrace.functions.exact import scaled
@@ -45,6 +44,13 @@ def read_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+
 def in_hundredths(df: DataFrame, name: str, money_scale: int = 1) -> DataFrame:
     """Money and rates as whole hundredths, quantities as whole numbers.
 
@@ -112,11 +118,8 @@ class Tables:
 
     @cached_property
     def partsupp(self) -> DataFrame:
-        try:
+        if self.fmt == "text" or exists(self.spark, f"{self.folder}/partsupp.parquet"):
             return self._whole("partsupp", self.raw("partsupp"))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
         made = completion.partsupp(self.raw("lineitem"))
         return in_hundredths(made, "partsupp", 1)
 
