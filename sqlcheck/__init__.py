@@ -7,5 +7,6 @@ def oracle() -> dict[str, str]:
     from sqlcheck.answers import ANSWERS
     from sqlcheck.audit import AUDIT
     from sqlcheck.provenance import PROVENANCE
+    from sqlcheck.tables import TABLES
 
-    return ANSWERS | PROVENANCE | AUDIT
+    return ANSWERS | PROVENANCE | AUDIT | TABLES

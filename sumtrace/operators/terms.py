@@ -167,7 +167,7 @@ RELEASES = {
 GLOBAL_OUTPUTS = {("q11", "total_value")}
 
 
-def _fn(query: str, output: str, keys: tuple[str, ...]) -> Column:
+def function_name(query: str, output: str, keys: tuple[str, ...]) -> Column:
     """Name of a released function: query, column and group key."""
     if (query, output) in GLOBAL_OUTPUTS:
         keys = ()
@@ -190,7 +190,7 @@ def _factor_text(f: Factor, name: str) -> str:
 def _term_struct(query: str, release: Release, output: Output, term: Term) -> Column:
     main = release.tables[0]
     fields = [
-        _fn(query, output.name, release.keys).alias("fn"),
+        function_name(query, output.name, release.keys).alias("fn"),
         F.col(f"row_{main}").alias("row"),
         F.lit(shape(term)).alias("shape"),
         F.lit(float(term.coef)).alias("coef"),
@@ -311,7 +311,7 @@ def released(tables, query: str, profile: str = "standard") -> DataFrame:
     keys = release.answer_keys or release.keys
     entries = [
         F.struct(
-            _fn(query, o.name, keys).alias("fn"),
+            function_name(query, o.name, keys).alias("fn"),
             F.lit(f"{query}.{o.name}").alias("output"),
             F.col(o.name).alias("value"),
             (F.col(o.divisor) if isinstance(o.divisor, str) else F.lit(o.divisor))

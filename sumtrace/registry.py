@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumtrace.operators import interchange, jacobian, provenance, reconstruct
+from sumtrace.operators import interchange, jacobian, provenance, reconstruct, refresh
 from sumtrace.operators.components import function_components
 from sumtrace.operators.determined import determined, determined_after
+from sumtrace.operators.integrity import integrity_report
 from sumtrace.operators.report import audit_log
 from sumtrace.operators.terms import RELEASES, release_terms, terms
 from sumtrace.plans.catalog import QUERIES, answer
 from sumtrace.session import cut
+from sumtrace.sources import shape
+from sumtrace.sources.results import released_pairs
 from sumtrace.sources.tables import Tables
 
 PROFILE = "small"
@@ -22,6 +27,9 @@ ALL = list(RELEASES)
 DESK = ["q03", "q07", "q09", "q10", "q11", "q15", "q17", "q18", "q19", "q22"]
 # With the shipped quantities, many of which are a single line's.
 SHIPPING = DESK + ["q20_shipped"]
+# Releases whose formulas fit a cell each.
+PAIRED = ["q03", "q10", "q15", "q17", "q18", "q19", "q22"]
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 # Currency in 10 000, rates as fractions, quantities in tens.
 UNITS = {"x8": 1e6, "x9": 100.0, "x7": 10.0}
 
@@ -86,8 +94,59 @@ def _audit() -> dict[str, Build]:
     }
 
 
+def _cents(name: str, *columns: str) -> Build:
+    return lambda t: getattr(t, name).select(*columns)
+
+
+def _refreshed(t: Tables, change) -> DataFrame:
+    orders, lines = t.orders, t.lineitem
+    return refresh.lines_per_order(*change(orders, lines))
+
+
+def _tables() -> dict[str, Build]:
+    return {
+        "variable_table": shape.variables,
+        "variable_codes": shape.variable_codes,
+        "cents_lineitem": _cents(
+            "lineitem", *LINE, "l_extendedprice", "l_discount", "l_tax"
+        ),
+        "cents_orders": _cents("orders", "o_orderkey", "o_totalprice"),
+        "cents_customer": _cents("customer", "c_custkey", "c_acctbal"),
+        "cents_supplier": _cents("supplier", "s_suppkey", "s_acctbal"),
+        "cents_part": _cents("part", "p_partkey", "p_retailprice"),
+        "cents_partsupp": _cents("partsupp", "ps_partkey", "ps_suppkey", "ps_supplycost"),
+        "first_rows": lambda t: shape.first_rows(
+            t.orders.select("o_orderkey", "o_custkey"), "orders", 1000
+        ),
+        "released_pairs": lambda t: reduce(
+            DataFrame.unionByName,
+            [released_pairs(provenance.with_formulas(t, n, PROFILE)) for n in PAIRED],
+        ),
+        "refresh_insert": lambda t: _refreshed(
+            t, lambda o, l: refresh.insert_orders(o, l, *refresh.refresh_rows(o, l))
+        ),
+        "refresh_delete": lambda t: _refreshed(
+            t, lambda o, l: refresh.delete_orders(o, l, refresh.refresh_keys(o))
+        ),
+        "order_rollup": lambda t: refresh.order_rollup(t.lineitem, t.unit(2)),
+        "line_status": lambda t: refresh.line_status(t.lineitem, date(1998, 6, 17)).select(
+            *LINE, "l_returnflag", "l_linestatus"
+        ),
+        "retail_price": lambda t: t.part.select(
+            "p_partkey", (refresh.retail_price(F.col("p_partkey")) / 100.0).alias("price")
+        ),
+        "part_supplier_bridge": lambda t: refresh.part_supplier_bridge(t.part, t.supplier),
+        "sparse_key": lambda t: t.orders.select(
+            "o_orderkey", refresh.sparse_key(F.col("o_orderkey"), 1).alias("sparse_key")
+        ),
+        "country_code": lambda t: refresh.country_codes(t.customer),
+        "date_dim": lambda t: refresh.date_dim(t.orders, t.lineitem),
+        "ref_integrity": integrity_report,
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    builds = _answers() | _provenance() | _audit()
+    builds = _answers() | _provenance() | _audit() | _tables()
 
     def over_folder(build: Build):
         return lambda spark, folder: build(Tables(spark, folder))
