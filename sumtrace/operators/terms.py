@@ -204,14 +204,11 @@ def _term_struct(query: str, release: Release, output: Output, term: Term) -> Co
             f.shift if f else 0,
             f.sign if f else 1,
         )
-    conditions = []
+    whole = F.struct(*fields)
     if output.where:
-        conditions.append(F.col(output.where))
+        whole = F.when(F.col(output.where), whole)
     if output.limited:
-        conditions.append(F.col("reported"))
-    whole = F.struct(*fields)
-    for c in conditions:
-        whole = F.when(c, whole)
+        whole = F.when(F.col("reported"), whole)
     return whole
 
 
@@ -248,7 +245,10 @@ def release_terms(tables, query: str, profile: str = "standard") -> DataFrame:
     structs = [
         _term_struct(query, release, o, term) for o in release.outputs for term in o.terms
     ]
-    return rows.select(F.inline(F.filter(F.array(*structs), lambda s: s.isNotNull())))
+    whole = F.array(*structs)
+    if any(o.where or o.limited for o in release.outputs):
+        whole = F.filter(whole, lambda s: s.isNotNull())
+    return rows.select(F.inline(whole))
 
 
 def terms(tables, names, profile: str = "standard") -> DataFrame:

@@ -33,6 +33,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording a call site for every column expression slows down building plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sumtrace.functions.exact import scaled
 from sumtrace.sources import completion
@@ -44,11 +45,23 @@ def read_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system it names."""
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When a path was last written, on whatever file system it names; None if it is not there."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return files.getFileStatus(path).getModificationTime() if files.exists(path) else None
+
+
+_schemas: dict[tuple, StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table; its footers are looked at once per session and version of the files."""
+    key = (spark.sparkContext.applicationId, path, modified(spark, path))
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def in_hundredths(df: DataFrame, name: str, money_scale: int = 1) -> DataFrame:
@@ -83,7 +96,7 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         if self.fmt == "text":
             return read_text(self.spark, self.folder, name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_parquet(self.spark, f"{self.folder}/{name}.parquet")
 
     def _whole(self, name: str, df: DataFrame) -> DataFrame:
         return in_hundredths(df, name, self.money_scale)
@@ -118,7 +131,8 @@ class Tables:
 
     @cached_property
     def partsupp(self) -> DataFrame:
-        if self.fmt == "text" or exists(self.spark, f"{self.folder}/partsupp.parquet"):
+        stored = modified(self.spark, f"{self.folder}/partsupp.parquet") is not None
+        if self.fmt == "text" or stored:
             return self._whole("partsupp", self.raw("partsupp"))
         made = completion.partsupp(self.raw("lineitem"))
         return in_hundredths(made, "partsupp", 1)
