@@ -49,7 +49,8 @@ def render(terms: DataFrame, size: int = 1000) -> DataFrame:
 
     A function over very many rows gets many pieces; the formula is their sum. Equal
     terms become one with a factor, and terms are spread over pieces by their hash,
-    so no piece grows with the table.
+    so no piece grows with the table. The struct key spreads the pieces of one
+    function over tasks after the join on the function.
     """
     texts = terms.select("fn", term_text().alias("text")).groupBy("fn", "text").count()
     texts = texts.select(
@@ -63,12 +64,10 @@ def render(terms: DataFrame, size: int = 1000) -> DataFrame:
     return (
         texts.join(pieces, "fn")
         .withColumn("piece", F.pmod(spread, F.col("pieces")))
-        .groupBy("fn", "pieces", "piece")
+        .groupBy(F.struct("fn", "piece", "pieces").alias("key"))
         .agg(F.array_sort(F.collect_list("text")).alias("texts"))
         .select(
-            "fn",
-            "piece",
-            "pieces",
+            "key.*",
             F.concat(F.lit("("), F.array_join("texts", "+"), F.lit(")")).alias("formula"),
         )
     )
@@ -77,7 +76,7 @@ def render(terms: DataFrame, size: int = 1000) -> DataFrame:
 def evaluate(tables, query: str, profile: str = "standard") -> DataFrame:
     """Each released value beside the value its terms add up to."""
     sums = (
-        release_terms(tables, query, profile)
+        release_terms(tables, query, profile, named=False)
         .groupBy("fn")
         .agg(
             exact_sum(value().cast("bigint")).cast("double").alias("total"),

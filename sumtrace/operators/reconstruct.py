@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrace.operators.terms import SLOTS, partials, value
-from sumtrace.session import cut
+from sumtrace.session import cut, uncut
 
 # Fixed values of the method.
 RATE = 0.001
@@ -109,11 +109,13 @@ def descend(
         norm = math.sqrt(pull.agg(F.sum(F.col("g") * F.col("g"))).first()[0] or 0.0)
         history.append((n, loss, norm))
         step = rate * min(1.0, CLIP_NORM / norm) if norm else 0.0
+        old = [off, pull, state]
         state = cut(
             state.join(pull, "var", "left").select(
                 "var", _clipped(F.col("x") - step * F.coalesce("g", F.lit(0.0))).alias("x")
             )
         )
+        uncut(*old)
         if loss < tol:
             break
     return state, history

@@ -223,8 +223,14 @@ def slot(i: int, var: Column, x: Column, shift=0.0, sign=1.0, power=1) -> list[C
     ]
 
 
-def release_terms(tables, query: str, profile: str = "standard") -> DataFrame:
-    """All terms of all functions that one query releases, in one pass over its rows."""
+def release_terms(
+    tables, query: str, profile: str = "standard", named: bool = True
+) -> DataFrame:
+    """All terms of all functions that one query releases, in one pass over its rows.
+
+    Without ``named`` rows and variables stay without names, which evaluation does
+    not need.
+    """
     release = RELEASES[query]
     p = params(query[:3], profile)
     rows = release.rows(tables, p)
@@ -241,7 +247,10 @@ def release_terms(tables, query: str, profile: str = "standard") -> DataFrame:
             rows = rows.join(released, on, "left").withColumn(
                 "reported", F.col("released_0").isNotNull()
             )
-    rows = rows.withColumns({f"row_{name}": row_part(name) for name in release.tables})
+    no_name = F.lit(None).cast("string")
+    rows = rows.withColumns(
+        {f"row_{name}": row_part(name) if named else no_name for name in release.tables}
+    )
     structs = [
         _term_struct(query, release, o, term) for o in release.outputs for term in o.terms
     ]

@@ -67,6 +67,29 @@ def cut(df: DataFrame) -> DataFrame:
     broadcast check of the next round goes by.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _cut_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def uncut(*frames: DataFrame) -> None:
+    """Delete the files behind frames that came from :func:`cut` and are not needed any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.split("file://")[-1].startswith(_cut_folder(df.sparkSession)):
+                _delete(df.sparkSession, folder)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete everything this application has cut; frames built on it stop working."""
+    _delete(spark, _cut_folder(spark))
