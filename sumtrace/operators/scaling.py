@@ -1,6 +1,7 @@
-"""How the audit scales with variables and functions, on random functions.
+"""How the audit and the gradient descent scale, on random functions.
 
-    python -m sumtrace.operators.scaling 1000 100
+    python -m sumtrace.operators.scaling audit 1000 100
+    python -m sumtrace.operators.scaling descent 1000 100 20
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sumtrace.operators.determined import determined
 from sumtrace.operators.jacobian import jacobian
+from sumtrace.operators.reconstruct import descend
 from sumtrace.operators.terms import slot
 from sumtrace.session import cut, local_session
 
@@ -63,5 +65,67 @@ def measure(spark: SparkSession, variables: int, functions: int, seed: int = 42)
     }
 
 
+# Coefficients lie in +-0.1, of products +-0.01, of powers +-0.001.
+COEFFICIENT = {"linear": 0.1, "cross": 0.01, "power": 0.001}
+
+
+def random_equations(spark: SparkSession, unknowns: int, equations: int, seed: int = 42) -> DataFrame:
+    """Equations ``f = 0`` with every unknown once, and up to half as many products and powers."""
+
+    def part(kind: str, per_equation: int) -> DataFrame:
+        rows = spark.range(equations * per_equation).select(
+            F.format_string("e.%d", (F.col("id") / per_equation).cast("bigint")).alias("fn"),
+            F.format_string(f"{kind}%d", F.col("id") % per_equation).alias("row"),
+            (F.col("id") % per_equation).alias("n"),
+        )
+        if kind != "linear":
+            # how many of its possible terms an equation has
+            many = F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), "fn"), F.lit(per_equation + 1))
+            rows = rows.where(F.col("n") < many)
+        span = COEFFICIENT[kind]
+        share = _draw(seed, f"{kind} coefficient", 1 << 30) / float(1 << 30)
+        first = F.col("n") if kind == "linear" else _draw(seed, f"{kind} 1", unknowns)
+        # another unknown than the first
+        second = F.pmod(first + 1 + _draw(seed, "cross 2", unknowns - 1), F.lit(unknowns))
+        power = _draw(seed, "exponent", 2) + 2 if kind == "power" else 1
+
+        def name(index: Column) -> Column:
+            return F.concat(F.lit("x_"), index.cast("string"))
+
+        none, zero = F.lit(None).cast("string"), F.lit(None).cast("double")
+        return rows.select(
+            "fn",
+            "row",
+            F.lit(kind).alias("shape"),
+            F.round(share * 2 * span - span, 3).alias("coef"),
+            *slot(1, name(first), zero, power=power),
+            *slot(2, name(second) if kind == "cross" else none, zero),
+            *slot(3, none, zero),
+        )
+
+    whole = part("linear", unknowns)
+    for kind in ("cross", "power"):
+        whole = whole.unionByName(part(kind, max(unknowns // 2, 1)))
+    return whole
+
+
+def measure_descent(
+    spark: SparkSession, unknowns: int, equations: int, rounds: int, seed: int = 42
+) -> dict:
+    """Seconds for a number of rounds of gradient descent, and the loss reached."""
+    terms = cut(random_equations(spark, unknowns, equations, seed))
+    targets = terms.select("fn").distinct().withColumn("target", F.lit(0.0))
+    start = time.monotonic()
+    _, history = descend(terms, targets, rounds)
+    return {
+        "unknowns": unknowns,
+        "equations": equations,
+        "rounds": len(history),
+        "loss": history[-1][1],
+        "seconds": time.monotonic() - start,
+    }
+
+
 if __name__ == "__main__":
-    print(measure(local_session(), int(sys.argv[1]), int(sys.argv[2])))
+    study = {"audit": measure, "descent": measure_descent}[sys.argv[1]]
+    print(study(local_session(), *[int(a) for a in sys.argv[2:]]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,8 +86,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def uncut(*frames: DataFrame) -> None:
     """Delete the files behind frames that came from :func:`cut` and are not needed any more."""
     for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.split("file://")[-1].startswith(_cut_folder(df.sparkSession)):
+        mine = f"/{df.sparkSession.sparkContext.applicationId}/"
+        for folder in {unquote(f.rsplit("/", 1)[0]) for f in df.inputFiles()}:
+            if mine in folder:
                 _delete(df.sparkSession, folder)
 
 

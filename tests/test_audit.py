@@ -8,7 +8,7 @@ from sumtrace.operators.components import connected_components
 from sumtrace.operators.determined import determined, determined_after
 from sumtrace.operators.jacobian import candidates, jacobian
 from sumtrace.operators.provenance import render
-from sumtrace.operators.scaling import random_terms
+from sumtrace.operators.scaling import measure_descent, random_equations, random_terms
 from sumtrace.operators.terms import value
 from tests.conftest import term_rows
 
@@ -227,3 +227,13 @@ def test_random_functions_derivatives(spark):
         hi, lo = evaluate(up), evaluate(down)
         for fn in hi:
             assert np.isclose((hi[fn] - lo[fn]) / 2e-6, got.get((fn, var), 0.0), atol=1e-4)
+
+
+def test_random_equations(spark):
+    rows = random_equations(spark, 12, 4).collect()
+    assert len([r for r in rows if r["shape"] == "linear"]) == 48
+    assert all(abs(r["coef"]) <= 0.1 for r in rows)
+    assert all(r["var_1"] != r["var_2"] for r in rows if r["shape"] == "cross")
+    assert {r["pow_1"] for r in rows if r["shape"] == "power"} <= {2, 3}
+    result = measure_descent(spark, 12, 4, 2)
+    assert result["rounds"] <= 2 and result["loss"] >= 0
