@@ -1,14 +1,15 @@
 """Queries that read mostly line items: q01, q06, q14, q15, q17, q19, q20.
 
-Where lines meet parts, lines are summed per join key first: a part that holds a
-large share of all lines reaches the join as a handful of rows.
+Lines are summed per part before they meet parts where the part is all they are
+grouped by (q14): a part that holds a large share of all lines reaches the join as
+one row, and the join reuses the shuffle.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumtrace.functions.amounts import charge, disc_price
@@ -132,13 +133,6 @@ def _q17_parts(t, p) -> DataFrame:
     return t.part.where(wanted).select("p_partkey")
 
 
-def _q17_means(lines: DataFrame) -> DataFrame:
-    """Per part: number of lines and their quantity; lines come per (part, quantity)."""
-    return lines.groupBy(col("l_partkey").alias("part")).agg(
-        F.sum("n").alias("part_n"), F.sum(col("n") * col("l_quantity")).alias("part_qty")
-    )
-
-
 def _q17_small():
     """quantity < 0.2 * part_qty / part_n, in whole numbers."""
     return col("l_quantity") * 5 * col("part_n") < col("part_qty")
@@ -164,15 +158,29 @@ def _q17_sums(t, p) -> DataFrame:
 
 
 def q17_rows(t, p) -> DataFrame:
-    means = _q17_means(_q17_sums(t, p))
+    means = (
+        _q17_sums(t, p)
+        .groupBy(col("l_partkey").alias("part"))
+        .agg(F.sum("n").alias("part_n"), F.sum(col("n") * col("l_quantity")).alias("part_qty"))
+    )
     return _q17_lines(t, p).join(means, col("l_partkey") == col("part")).where(_q17_small())
 
 
 def q17(t, p) -> DataFrame:
-    """Average yearly revenue of lines far below their part's mean quantity."""
-    sums = _q17_sums(t, p)
+    """Average yearly revenue of lines far below their part's mean quantity.
+
+    The window runs over one row per part and quantity, so a part has at most as
+    many rows as there are quantities.
+    """
+    of_part = Window.partitionBy("l_partkey")
     return (
-        sums.join(_q17_means(sums), col("l_partkey") == col("part"))
+        _q17_sums(t, p)
+        .withColumns(
+            {
+                "part_n": F.sum("n").over(of_part),
+                "part_qty": F.sum(col("n") * col("l_quantity")).over(of_part),
+            }
+        )
         .where(_q17_small())
         .agg(*resum("price"))
         .select((total("price").cast("double") / t.unit(2) / 7).alias("avg_yearly"))
@@ -213,16 +221,8 @@ def q19_rows(t, p) -> DataFrame:
 
 def q19(t, p) -> DataFrame:
     """Revenue of hand-delivered air lines in three brand, box and quantity branches."""
-    sums = (
-        _q19_lines(t)
-        .groupBy("l_partkey", "l_quantity")
-        .agg(*split_sums(disc_price(), "rev"))
-    )
-    return (
-        sums.join(t.part, (col("l_partkey") == col("p_partkey")) & _q19_match(p))
-        .agg(*resum("rev"))
-        .select((total("rev").cast("double") / t.unit(4)).alias("revenue"))
-    )
+    amount = exact_sum(disc_price())
+    return q19_rows(t, p).agg((amount.cast("double") / t.unit(4)).alias("revenue"))
 
 
 def q20_rows(t, p) -> DataFrame:

@@ -1,8 +1,11 @@
 """Queries that join lines with orders and customers.
 
-Lines are first summed per order (and what else the answer groups by). The
-shuffle this needs is the one the join on the order key needs anyway, it is
+Where lines are only needed in sum per order (q03, q10, q13, q18, q21) they are
+summed before the join. The shuffle is the one the join needs anyway, it is
 combined map-side, and an order with very many lines reaches the join as one row.
+Where lines are grouped by something else, summing first would cost a shuffle of
+its own. There the join comes first: its output is shuffled again in any case, so
+adaptive execution is free to split the partition of such an order.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumtrace.functions.amounts import day, disc_price, year_of
-from sumtrace.functions.exact import resum, split_sums, total
+from sumtrace.functions.exact import exact_sum, resum, split_sums, total
 from sumtrace.plans.lineitems import between, optional
 
 col, lit = F.col, F.lit
@@ -24,6 +27,12 @@ def _money(t, name: str, digits: int):
     return total(name).cast("double") / t.unit(digits)
 
 
+def _revenue(t, amount=None):
+    """Aggregate: the sum of discounted prices, or of another amount with four decimals."""
+    amount = disc_price() if amount is None else amount
+    return exact_sum(amount).cast("double") / t.unit(4)
+
+
 def _nations(t, *names: str) -> DataFrame:
     return t.nation.where(col("n_name").isin(*names)).select("n_nationkey", "n_name")
 
@@ -100,23 +109,10 @@ def q05_rows(t, p) -> DataFrame:
 
 def q05(t, p) -> DataFrame:
     """Revenue per nation of one region between local customers and suppliers."""
-    orders = t.orders.where(between("o_orderdate", p.start, 12)).select("o_orderkey", "o_custkey")
-    sellers = _suppliers(t, _nations_of(t, p.region))
-    per_order = (
-        t.lineitem.join(sellers, col("l_suppkey") == col("s_suppkey"))
-        .groupBy("l_orderkey", "s_nationkey", "n_name")
-        .agg(*split_sums(disc_price(), "rev"))
-    )
     return (
-        per_order.join(orders, col("l_orderkey") == col("o_orderkey"))
-        .join(
-            t.customer.select("c_custkey", "c_nationkey"),
-            (col("o_custkey") == col("c_custkey")) & (col("s_nationkey") == col("c_nationkey")),
-            "left_semi",
-        )
+        q05_rows(t, p)
         .groupBy("n_name")
-        .agg(*resum("rev"))
-        .select("n_name", _money(t, "rev", 4).alias("revenue"))
+        .agg(_revenue(t).alias("revenue"))
         .orderBy(col("revenue").desc(), "n_name")
     )
 
@@ -151,18 +147,8 @@ def q07_rows(t, p) -> DataFrame:
 
 def q07(t, p) -> DataFrame:
     """Revenue shipped between two nations, per direction and year."""
-    per_order = (
-        _q07_lines(t, p)
-        .groupBy("l_orderkey", "supp_nation", "l_year")
-        .agg(*split_sums(disc_price(), "rev"))
-    )
-    return (
-        per_order.join(_q07_orders(t, p), _q07_abroad())
-        .groupBy("supp_nation", "cust_nation", "l_year")
-        .agg(*resum("rev"))
-        .select("supp_nation", "cust_nation", "l_year", _money(t, "rev", 4).alias("revenue"))
-        .orderBy("supp_nation", "cust_nation", "l_year")
-    )
+    groups = ["supp_nation", "cust_nation", "l_year"]
+    return q07_rows(t, p).groupBy(*groups).agg(_revenue(t).alias("revenue")).orderBy(*groups)
 
 
 def _q08_lines(t, p) -> DataFrame:
@@ -192,24 +178,11 @@ def q08_rows(t, p) -> DataFrame:
 
 def q08(t, p) -> DataFrame:
     """A nation's share in a region's purchases of one part type, per year."""
-    per_order = (
-        _q08_lines(t, p).groupBy("l_orderkey", "is_nation").agg(*split_sums(disc_price(), "rev"))
-    )
+    own = F.when(col("is_nation"), disc_price()).otherwise(0)
     return (
-        per_order.join(_q08_orders(t, p), col("l_orderkey") == col("o_orderkey"))
+        q08_rows(t, p)
         .groupBy("o_year")
-        .agg(
-            *resum("rev"),
-            *[
-                c.alias(f"own_{side}")
-                for c, side in zip(resum("rev", col("is_nation")), ("hi", "lo"))
-            ],
-        )
-        .select(
-            "o_year",
-            _money(t, "own", 4).alias("nation_volume"),
-            _money(t, "rev", 4).alias("total_volume"),
-        )
+        .agg(_revenue(t, own).alias("nation_volume"), _revenue(t).alias("total_volume"))
         .withColumn("mkt_share", F.try_divide("nation_volume", "total_volume"))
         .orderBy("o_year")
     )
@@ -256,23 +229,19 @@ def q10(t, p) -> DataFrame:
 
 def q12(t, p) -> DataFrame:
     """Late lines of two ship modes by high and low order priority."""
-    per_order = (
-        t.lineitem.where(
-            col("l_shipmode").isin(p.mode_1, p.mode_2)
-            & (col("l_commitdate") < col("l_receiptdate"))
-            & (col("l_shipdate") < col("l_commitdate"))
-            & between("l_receiptdate", p.start, 12)
-        )
-        .groupBy("l_orderkey", "l_shipmode")
-        .agg(F.count("*").alias("n"))
+    lines = t.lineitem.where(
+        col("l_shipmode").isin(p.mode_1, p.mode_2)
+        & (col("l_commitdate") < col("l_receiptdate"))
+        & (col("l_shipdate") < col("l_commitdate"))
+        & between("l_receiptdate", p.start, 12)
     )
     high = col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return (
-        per_order.join(t.orders, col("l_orderkey") == col("o_orderkey"))
+        lines.join(t.orders, col("l_orderkey") == col("o_orderkey"))
         .groupBy("l_shipmode")
         .agg(
-            F.sum(F.when(high, col("n")).otherwise(0)).alias("high_line_count"),
-            F.sum(F.when(high, 0).otherwise(col("n"))).alias("low_line_count"),
+            F.sum(F.when(high, 1).otherwise(0)).alias("high_line_count"),
+            F.sum(F.when(high, 0).otherwise(1)).alias("low_line_count"),
         )
         .orderBy("l_shipmode")
     )

@@ -8,21 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumtrace.functions.amounts import profit, year_of
-from sumtrace.functions.exact import resum, split_sums, total
+from sumtrace.functions.exact import exact_sum, resum, split_sums, total
 from sumtrace.plans.lineitems import optional
 from sumtrace.plans.orders import _nations, _nations_of, _suppliers
 
 col = F.col
 
 
+def _offers(t, parts: DataFrame) -> DataFrame:
+    """Stock rows of some parts; as a semi-join this goes below a derived table's DISTINCT."""
+    wanted = parts.select("p_partkey")
+    return t.partsupp.join(wanted, col("ps_partkey") == col("p_partkey"), "left_semi")
+
+
 def q02(t, p) -> DataFrame:
     """Cheapest suppliers of a region for parts of one size and type, first hundred."""
     parts = t.part.where(
         (col("p_size") == p.size) & col("p_type").endswith(p.type_suffix)
     ).select("p_partkey", "p_mfgr")
     sellers = t.supplier.join(_nations_of(t, p.region), col("s_nationkey") == col("n_nationkey"))
-    offers = t.partsupp.join(parts, col("ps_partkey") == col("p_partkey")).join(
-        sellers, col("ps_suppkey") == col("s_suppkey")
+    offers = (
+        _offers(t, parts)
+        .join(parts, col("ps_partkey") == col("p_partkey"))
+        .join(sellers, col("ps_suppkey") == col("s_suppkey"))
     )
     cheapest = offers.groupBy(col("p_partkey").alias("part")).agg(
         F.min("ps_supplycost").alias("least")
@@ -44,42 +52,31 @@ def q02(t, p) -> DataFrame:
     )
 
 
-def _q09_lines(t, p) -> DataFrame:
+def q09_rows(t, p) -> DataFrame:
     parts = t.part.where(col("p_name").contains(p.color)).select("p_partkey")
+    orders = t.orders.select("o_orderkey", year_of("o_orderdate").alias("o_year"))
     return (
         t.lineitem.join(parts, col("l_partkey") == col("p_partkey"), "left_semi")
         .join(
-            t.partsupp,
+            _offers(t, parts),
             (col("l_partkey") == col("ps_partkey")) & (col("l_suppkey") == col("ps_suppkey")),
         )
         .join(
             _suppliers(t, t.nation.select("n_nationkey", "n_name")),
             col("l_suppkey") == col("s_suppkey"),
         )
+        .join(orders, col("l_orderkey") == col("o_orderkey"))
         .withColumnRenamed("n_name", "nation")
     )
 
 
-def _q09_orders(t) -> DataFrame:
-    return t.orders.select("o_orderkey", year_of("o_orderdate").alias("o_year"))
-
-
-def q09_rows(t, p) -> DataFrame:
-    return _q09_lines(t, p).join(_q09_orders(t), col("l_orderkey") == col("o_orderkey"))
-
-
 def q09(t, p) -> DataFrame:
     """Profit on parts of one colour per nation and year."""
-    per_order = (
-        _q09_lines(t, p).groupBy("l_orderkey", "nation").agg(*split_sums(profit(), "gain"))
-    )
+    gain = exact_sum(profit()).cast("double") / t.unit(4)
     return (
-        per_order.join(_q09_orders(t), col("l_orderkey") == col("o_orderkey"))
+        q09_rows(t, p)
         .groupBy("nation", "o_year")
-        .agg(*resum("gain"))
-        .select(
-            "nation", "o_year", (total("gain").cast("double") / t.unit(4)).alias("sum_profit")
-        )
+        .agg(gain.alias("sum_profit"))
         .orderBy("nation", col("o_year").desc())
     )
 
@@ -120,7 +117,8 @@ def q16(t, p) -> DataFrame:
     sellers = t.supplier.where(~col("s_comment").like("%Customer%Complaints%"))
     groups = ["p_brand", "p_type", "p_size"]
     return (
-        t.partsupp.join(parts, col("ps_partkey") == col("p_partkey"))
+        _offers(t, parts)
+        .join(parts, col("ps_partkey") == col("p_partkey"))
         .select(*groups, "ps_suppkey")
         .distinct()
         .join(sellers, col("ps_suppkey") == col("s_suppkey"), "left_semi")
