@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlcheck.provenance import DESK, all_terms, released_query
+from sqlcheck.provenance import ALL, DESK, all_terms, released_query
 
 SHIPPING = DESK + ["q20_shipped"]
 
@@ -33,6 +33,11 @@ CANDIDATES = f"""WITH {_jac(SHIPPING)},
             FROM jac JOIN lead USING (var) GROUP BY var)
     SELECT MIN(var) AS var FROM sig GROUP BY s HAVING COUNT(*) = 1"""
 
+SIZES = f"""WITH {_jac(ALL)}
+    SELECT split_part(fn, '.', 1) AS query, COUNT(DISTINCT fn) AS functions, COUNT(*) AS entries,
+        COUNT(DISTINCT var) AS variables
+    FROM jac GROUP BY 1"""
+
 COMPONENTS = f"""WITH RECURSIVE {_jac(SHIPPING)},
     hub AS (SELECT var, MIN(fn) AS hub FROM jac GROUP BY var HAVING COUNT(*) > 1),
     link AS (SELECT DISTINCT fn AS a, hub AS b FROM jac JOIN hub USING (var) WHERE fn <> hub),
@@ -134,6 +139,7 @@ AUDIT = {
     "audit_singleton": SINGLETON,
     "audit_candidates": CANDIDATES,
     "audit_components": COMPONENTS,
+    "audit_sizes": SIZES,
     "audit_interchange": INTERCHANGE,
     "audit_interchange_multi": INTERCHANGE_MULTI,
     "audit_join_groups": JOIN_GROUPS,

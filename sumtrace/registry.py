@@ -13,7 +13,7 @@ from sumtrace.operators import interchange, jacobian, provenance, reconstruct, r
 from sumtrace.operators.components import function_components
 from sumtrace.operators.determined import determined, determined_after
 from sumtrace.operators.integrity import integrity_report
-from sumtrace.operators.report import audit_log
+from sumtrace.operators.report import audit_log, sizes
 from sumtrace.operators.terms import RELEASES, release_terms, terms
 from sumtrace.plans.catalog import QUERIES, answer
 from sumtrace.session import cut
@@ -90,6 +90,9 @@ def _audit() -> dict[str, Build]:
         ).drop("scope"),
         "audit_join_groups": lambda t: interchange.join_groups(terms(t, ["q09", "q11"], PROFILE)),
         "audit_reconstruct": _reconstruct,
+        "audit_sizes": lambda t: sizes(
+            cut(jacobian.jacobian(terms(t, ALL, PROFILE), per_query=True))
+        ),
         "audit_log": lambda t: audit_log(t, ALL, PROFILE),
     }
 

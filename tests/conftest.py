@@ -29,7 +29,9 @@ def attach(folder):
     db = duckdb.connect()
     for file in sorted(os.listdir(folder)):
         name = file.removesuffix(".parquet")
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{file}'")
+        path = f"{folder}/{file}"
+        path += "/*.parquet" if os.path.isdir(path) else ""
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
     return db
 
 

@@ -76,9 +76,10 @@ def test_number_of_partitions_does_not_matter(spark, db, partitions):
 
 
 @pytest.fixture(scope="module")
-def skewed(tmp_path_factory):
+def skewed(spark, tmp_path_factory):
     """The smallest tables with a third of all lines on one order, part and supplier."""
     folder = str(tmp_path_factory.mktemp("skewed"))
+    made = str(tmp_path_factory.mktemp("lines"))
     db = attach(SMALL)
     for file in os.listdir(SMALL):
         if file != "lineitem.parquet":
@@ -89,8 +90,10 @@ def skewed(tmp_path_factory):
             CASE WHEN hot THEN 2 ELSE l_partkey END AS l_partkey,
             CASE WHEN hot THEN 3 ELSE l_suppkey END AS l_suppkey)
         FROM (SELECT *, row_number() OVER () % 3 = 0 AS hot FROM lineitem))
-        TO '{folder}/lineitem.parquet' (FORMAT parquet)"""
+        TO '{made}/lineitem.parquet' (FORMAT parquet)"""
     )
+    lines = spark.read.parquet(f"{made}/lineitem.parquet")
+    lines.repartition(6).write.parquet(f"{folder}/lineitem.parquet")
     return folder
 
 
@@ -115,3 +118,24 @@ def test_empty_tables(spark, tables, tmp_path):
         assert answer(empty, name, "small").count() == 0
     assert answer(empty, "q06", "small").first().revenue is None
     assert answer(empty, "q14", "small").first().promo_revenue is None
+
+
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+}
+
+
+@pytest.mark.parametrize("name", ["q05", "q08", "q17"])
+def test_hot_keys_are_split_at_run_time(spark, skewed, name):
+    for key, setting in SPLIT.items():
+        spark.conf.set(key, setting)
+    try:
+        df = QUERIES[name](spark, skewed)
+        df.collect()
+        assert "skew=true" in plan(df)
+    finally:
+        for key in SPLIT:
+            spark.conf.unset(key)
