@@ -27,12 +27,6 @@ SUPPLIERS_PER_PART = 4
 FIRST_WEEKDAY = 3
 
 
-def insert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` and the rows of ``new`` whose key is not taken."""
-    taken = base.select(*keys).distinct()
-    return base.unionByName(new.join(taken, keys, "left_anti").select(*base.columns))
-
-
 def insert_orders(
     orders: DataFrame, lines: DataFrame, new_orders: DataFrame, new_lines: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
