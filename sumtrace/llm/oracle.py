@@ -25,4 +25,16 @@ SQL = {
         f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN b USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
         FROM f JOIN n USING (item_id) WHERE n_found / n_shingles >= 0.8""",
+    # every 13-word window that starts in a document with a smaller id takes its words out
+    "op8_substrings": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM p),
+        m AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        r AS (SELECT DISTINCT doc_id, i + k AS i FROM
+              (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM x JOIN m USING (s) WHERE first < doc_id)),
+        t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept, count(*) AS n
+              FROM t LEFT JOIN r ON t.doc_id = r.doc_id AND t.i = r.i WHERE r.i IS NULL GROUP BY t.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }

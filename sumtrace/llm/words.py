@@ -65,12 +65,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about :data:`PIECE_BYTES` of text each, with bytes and offsets."""
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about ``size`` bytes of text each, with bytes and offsets."""
     data, at = buffers(batch.column(batch.schema.get_field_index(column)))
     begin = 0
     while begin < batch.num_rows:
-        end = int(np.searchsorted(at, at[begin] + PIECE_BYTES, "right")) - 1
+        end = int(np.searchsorted(at, at[begin] + size, "right")) - 1
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin), data[at[begin] : at[end]], at[begin : end + 1] - at[begin]
         begin = end
