@@ -24,6 +24,7 @@ repeated or null ids. An empty table or no template gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +79,11 @@ def least_similarity(threshold: float) -> float:
     return threshold / 2 / (1.5 + 0.5 - threshold / 2)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value worked out once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def words(text: Column) -> Column:
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
@@ -101,11 +107,8 @@ def shingle_texts(own: Column, n: int) -> Column:
 
 def signature(hashes: Column, bands: int) -> Column:
     """Least value of each of ``bands`` hash functions over the shingles."""
-    return F.array(*[F.array_min(_seeded(hashes, k)) for k in range(bands)])
-
-
-def _seeded(hashes: Column, k: int) -> Column:
-    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))
+    seeds = F.expr("sequence(0, " + str(bands - 1) + ")")
+    return _bound(hashes, lambda own: F.transform(seeds, lambda k: F.array_min(F.transform(own, lambda h: F.xxhash64(h, k)))))
 
 
 def size_class(n: Column) -> Column:
@@ -167,10 +170,11 @@ def licensed(
     if not known:
         return spark.createDataFrame([], empty)
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("row"), words(F.col("text")).alias("w")
+        "doc_id",
+        F.xxhash64("doc_id", "text").alias("row"),
+        _bound(words(F.col("text")), lambda w: F.struct(w.alias("w"), shingle_hashes(w, shingle).alias("h"))).alias("s"),
     )
-    found = hashed.withColumn("h", shingle_hashes(F.col("w"), shingle)).where(F.exists("h", lambda x: x.isin(known)))
-    found = cut(found)
+    found = cut(hashed.where(F.exists("s.h", lambda x: x.isin(known))).select("doc_id", "row", "s.w", "s.h"))
     windows = cut(reduce(DataFrame.unionByName, [_windows(found, s, known, shingle, bands) for s in sorted({r["size"] for r in rows})]))
     keyed = windows.select("row", "size", "first_word", F.posexplode("minima").alias("band", "minimum"))
     keys = ready.select("license", "size", F.posexplode("minima").alias("band", "minimum"))
