@@ -43,11 +43,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent
-REACH = 8.0
+REACH = 5.0
 LEAST_ROWS = 100
 REMEMBERED = 200_000
 #: Least distance of a band's ends from the quartiles, by measure.
-MARGIN = {"chars_per_token": 0.5, "fallback_share": 0.05, "token_entropy": 0.15}
+MARGIN = {"chars_per_token": 0.05, "fallback_share": 0.05, "token_entropy": 0.15}
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS.encode())] = True
 _FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80  # of a character
