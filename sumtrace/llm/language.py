@@ -150,6 +150,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _has_letter(text: str | None) -> bool:
+    # the pattern also finds numerals such as fractions
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def predict(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a column."""
     names, scores = [], []
@@ -163,7 +168,7 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
             for bucket in subwords(data, offsets):
                 sums[full] += np.add.reduceat(model.table[bucket], offsets[full], axis=0)
                 count[full] += np.add.reduceat((bucket < len(model.table) - 1).astype(np.int32), offsets[full])
-        letters = [x is not None and _LETTER.search(x) is not None for x in piece.column(0).to_pylist()]
+        letters = [_has_letter(x) for x in piece.column(0).to_pylist()]
         known = np.array(letters, bool) & bool(model.languages)
         if model.languages:
             p = _softmax((sums / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
