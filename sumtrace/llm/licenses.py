@@ -132,17 +132,19 @@ def prepared(spark: SparkSession, templates: dict[str, str], shingle: int, bands
 
 def _windows(found: DataFrame, size: int, known: list[int], shingle: int, bands: int) -> DataFrame:
     step, length = window_shape(size)
-    n = F.size("h")
-    many = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))
-    out = found.select("doc_id", "row", "w", "h", F.explode(many).alias("i")).select(
-        "doc_id",
-        "row",
-        F.lit(size).alias("size"),
-        (F.col("i") * step).alias("first_word"),
-        F.slice("h", F.col("i") * step + 1, length).alias("h"),
-        F.slice("w", F.col("i") * step + 1, length + shingle - 1).alias("w"),
+    every = F.sequence(F.lit(0), (F.size("h") - 1) - F.pmod(F.size("h") - 1, F.lit(step)), F.lit(step))
+    # the arrays of the whole text stay in one row: only windows are exploded
+    near = F.filter(every, lambda i: F.exists(F.slice("h", i + 1, length), lambda x: x.isin(known)))
+    cut_out = F.transform(
+        near,
+        lambda i: F.struct(
+            F.lit(size).alias("size"),
+            i.alias("first_word"),
+            signature(F.array_distinct(F.slice("h", i + 1, length)), bands).alias("minima"),
+            F.slice("w", i + 1, length + shingle - 1).alias("w"),
+        ),
     )
-    return out.where(F.exists("h", lambda x: x.isin(known))).withColumn("minima", signature(F.array_distinct("h"), bands)).drop("h")
+    return found.select("doc_id", "row", F.explode(cut_out).alias("x")).select("doc_id", "row", "x.size", "x.first_word", "x.minima", "x.w")
 
 
 def licensed(

@@ -315,6 +315,8 @@ def labelled_pages(n: int = PAGES, seed: int = 17) -> list[tuple[str, dict[str,
         article = wrapped(["article"] * 8 + ["main"] * 3 + named("main", "div section", "content post entry article story text"), "".join(body))
         before = [f for f, p in ((f"<nav>{links(5)}</nav>", 0.7), (wrapped(named("header", "div", "header masthead top menu navbar"), prose(0) + links(3)), 0.5), (ad(), 0.6), (notice(), 0.3)) if r.random() < p]
         after = [f for f, p in ((comments(), 0.5), (wrapped(named("aside", "div", "sidebar related widget"), f"<p>{prose(0)}</p>" + links(3)), 0.5), (form(), 0.3), (ad(), 0.3), (wrapped(named("footer", "div", "footer bottom copyright"), r.choice(["&copy; ", ""]) + prose(0)), 0.8)) if r.random() < p]
+        if r.random() < 0.12:  # nothing but the article
+            before, after = [], []
         r.shuffle(before)
         whole = f"<html><head><title>{say(6, 0, False)}</title></head><body>" + "".join(before) + article + "".join(after)
         out.append((whole + ("</body></html>" if r.random() < 0.9 else ""), label))
