@@ -16,8 +16,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sumtrace.llm.common import arrow_batches
 
@@ -55,5 +57,27 @@ def answered(
     return blocks.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(finish, result)
 
 
-def batches(table: pa.Table) -> list[pa.RecordBatch]:
-    return table.to_batches()
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes: what is shuffled is written to disk too."""
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def squeezed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with the texts compressed; nulls count as empty."""
+    arrow_batches(rows.sparkSession)
+    at = rows.columns.index(text)
+    schema = T.StructType([T.StructField(text, T.BinaryType()) if f.name == text else f for f in rows.schema.fields])
+
+    def of(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            cells = [press.compress((x or "").encode()) for x in batch.column(at).to_pylist()]
+            columns = batch.columns
+            columns[at] = pa.array(cells, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(of, schema)

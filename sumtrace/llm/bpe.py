@@ -92,8 +92,30 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _texts(table: pa.Table) -> list[str]:
-    return [x or "" for x in table.column("text").to_pylist()]
+class _Block:
+    """Distinct words of a block, by bucket in the order in which it asks for them, and for each
+    text the places of its words among the distinct ones; None for texts with special tokens."""
+
+    def __init__(self, table: pa.Table, path: str, n_buckets: int):
+        place: dict[str, int] = {}
+        self.whole: dict[int, str] = {}
+        self.texts: list[np.ndarray] = []
+        specials, new = _specials(path), place.setdefault
+        for i, cell in enumerate(table.column("text")):
+            text = B.expand(cell.as_py()).decode()
+            if any(s in text for s in specials):
+                self.whole[i] = text
+                self.texts.append(np.zeros(0, np.int32))
+            else:
+                self.texts.append(np.array([new(w, len(place)) for w in split(text, path)], np.int32))
+        self.buckets: list[list[bytes]] = [[] for _ in range(n_buckets)]
+        self.places: list[list[int]] = [[] for _ in range(n_buckets)]
+        for word in sorted(place):
+            data = word.encode()
+            i = _bucket(data, n_buckets)
+            self.buckets[i].append(data)
+            self.places[i].append(place[word])
+        self.n_words = len(place)
 
 
 def encoded(docs: DataFrame, path: str | None = None, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -102,77 +124,80 @@ def encoded(docs: DataFrame, path: str | None = None, block_bytes: int = B.BLOCK
     dealt, n_blocks = B.dealt(id_and_text(docs), "text", block_bytes)
     n_buckets = max(1, n_blocks * block_bytes // BUCKET_BYTES)
 
-    def whole(text: str) -> bool:
-        return any(s in text for s in _specials(path))
-
     def ask(table: pa.Table) -> pa.Table:
-        words: set[str] = set()
-        for text in _texts(table):
-            if not whole(text):
-                words.update(split(text, path))
-        of: list[list[bytes]] = [[] for _ in range(n_buckets)]
-        for word in sorted(words):
-            data = word.encode()
-            of[_bucket(data, n_buckets)].append(data)
-        used = [i for i, own in enumerate(of) if own]
+        own = _Block(table, path, n_buckets)
+        used = [i for i, words in enumerate(own.buckets) if words]
         block = table.column(B.BLOCK)[0].as_py()
+        sizes = [np.array([len(w) for w in own.buckets[i]], np.uint32).tobytes() for i in used]
         return pa.table(
             [
                 pa.array([block] * len(used), pa.int32()),
                 pa.array(used, pa.int32()),
-                pa.array([np.array([len(w) for w in of[i]], np.uint32).tobytes() for i in used], pa.binary()),
-                pa.array([b"".join(of[i]) for i in used], pa.binary()),
+                pa.array([B.squeeze(x) for x in sizes], pa.binary()),
+                pa.array([B.squeeze(b"".join(own.buckets[i])) for i in used], pa.binary()),
             ],
             names=[B.BLOCK, "bucket", "lengths", "words"],
         )
 
     def reply(table: pa.Table) -> pa.Table:
-        asked = [_words(a, b) for a, b in zip(table.column("lengths").to_pylist(), table.column("words").to_pylist())]
+        asked = [_words(B.expand(a), B.expand(b)) for a, b in zip(table.column("lengths").to_pylist(), table.column("words").to_pylist())]
         distinct = sorted(set().union(*asked))
+        kind = _id_type(path)
         ids: dict[bytes, bytes] = {}
-        counts: dict[bytes, int] = {}
         for at in range(0, len(distinct), WORDS_AT_ONCE):
             part = distinct[at : at + WORDS_AT_ONCE]
             for word, e in zip(part, tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                counts[word] = len(e.ids)
-                ids[word] = np.array(e.ids, np.uint32).tobytes()
+                ids[word] = np.array(e.ids, kind).tobytes()
+        found = [[ids[w] for w in own] for own in asked]
+        counts = [np.array([len(x) // kind().itemsize for x in own], np.uint32).tobytes() for own in found]
         return pa.table(
             [
                 table.column(B.BLOCK),
-                table.column("lengths"),
-                table.column("words"),
-                pa.array([np.array([counts[w] for w in own], np.uint32).tobytes() for own in asked], pa.binary()),
-                pa.array([b"".join([ids[w] for w in own]) for own in asked], pa.binary()),
+                table.column("bucket"),
+                pa.array([B.squeeze(x) for x in counts], pa.binary()),
+                pa.array([B.squeeze(b"".join(x)) for x in found], pa.binary()),
             ],
-            names=[B.BLOCK, "lengths", "words", "counts", "ids"],
+            names=[B.BLOCK, "bucket", "counts", "ids"],
         )
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        known: dict[str, bytes] = {}
-        for lengths, words, counts, ids in zip(*[answers.column(c).to_pylist() for c in ("lengths", "words", "counts", "ids")]):
-            end = (4 * np.cumsum(np.frombuffer(counts, np.uint32).astype(np.int64))).tolist()
-            known.update((w.decode(), ids[a:b]) for w, a, b in zip(_words(lengths, words), [0, *end], end))
+        own = _Block(table, path, n_buckets)
+        count, begin = np.zeros(own.n_words, np.int64), np.zeros(own.n_words, np.int64)
+        flat, seen = [np.zeros(0, np.int32)], 0
+        for bucket, counts, ids in zip(*[answers.column(c).to_pylist() for c in ("bucket", "counts", "ids")]):
+            n = np.frombuffer(B.expand(counts), np.uint32).astype(np.int64)
+            at = np.array(own.places[bucket])
+            count[at], begin[at] = n, seen + np.cumsum(n) - n
+            flat.append(np.frombuffer(B.expand(ids), _id_type(path)).astype(np.int32))
+            seen += len(flat[-1])
+        known = np.concatenate(flat)
         values = []
-        for text in _texts(table):
-            if whole(text):
-                values.append(np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.int32))
+        for i, words in enumerate(own.texts):
+            if i in own.whole:
+                values.append(np.array(tokenizer(path).encode(own.whole[i], add_special_tokens=False).ids, np.int32))
             else:
-                values.append(np.frombuffer(b"".join(map(known.__getitem__, split(text, path))), np.int32))
+                n = count[words]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                values.append(known[np.repeat(begin[words], n) + step])
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-        return pa.table([table.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+        joined = np.concatenate([np.zeros(0, np.int32), *values])
+        return pa.table([table.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined))], names=["doc_id", "ids"])
 
     return B.answered(
-        dealt,
+        B.squeezed(dealt),
         ask,
         f"{B.BLOCK} int, bucket int, lengths binary, words binary",
         reply,
-        f"{B.BLOCK} int, lengths binary, words binary, counts binary, ids binary",
+        f"{B.BLOCK} int, bucket int, counts binary, ids binary",
         finish,
         T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]),
     )
 
 
+def _id_type(path: str) -> type:
+    return np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32
+
+
 def _bucket(word: bytes, n: int) -> int:
     import xxhash
 
