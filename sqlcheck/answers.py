@@ -135,7 +135,7 @@ ANSWERS = {
     "q17": ctes("li", "pt", m="SELECT l_partkey AS pk, SUM(qty) AS sq, COUNT(*) AS n FROM li GROUP BY 1") + """
         SELECT CAST(SUM(price) AS DOUBLE) / 7 AS avg_yearly
         FROM li JOIN pt ON l_partkey = p_partkey JOIN m ON l_partkey = pk
-        WHERE p_brand = 'Brand#23' AND p_container LIKE 'MED%' AND qty * 5 * n < sq""",
+        WHERE p_brand = 'Brand#23' AND p_container IN ('MED CASE','MED BOX','MED BAG','MED JAR','MED PKG','MED PACK','MED CAN','MED DRUM') AND qty * 5 * n < sq""",
     "q18": ctes("li") + """
         SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice,
             CAST(SUM(qty) AS DOUBLE) AS sum_quantity

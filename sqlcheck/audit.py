@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from sqlcheck.provenance import ALL, DESK, all_terms, released_query
-
-SHIPPING = DESK + ["q20_shipped"]
+from sqlcheck.provenance import ALL, all_terms, released_query
 
 
 def _jac(queries, scale: str = "1") -> str:
@@ -22,12 +20,12 @@ def _jac(queries, scale: str = "1") -> str:
                 GROUP BY fn, var HAVING abs(SUM(d)) > 1e-9)"""
 
 
-JACOBIAN = f"WITH {_jac(SHIPPING)} SELECT fn, var, d FROM jac"
+JACOBIAN = f"WITH {_jac(ALL)} SELECT fn, var, d FROM jac"
 
-SINGLETON = f"""WITH {_jac(SHIPPING)}
+SINGLETON = f"""WITH {_jac(ALL)}
     SELECT fn, MIN(var) AS var FROM jac GROUP BY fn HAVING COUNT(*) = 1"""
 
-CANDIDATES = f"""WITH {_jac(SHIPPING)},
+CANDIDATES = f"""WITH {_jac(ALL)},
     lead AS (SELECT var, arg_min(d, fn) AS lead FROM jac GROUP BY var),
     sig AS (SELECT var, string_agg(fn || '=' || CAST(d / lead + 0.0 AS VARCHAR), ';' ORDER BY fn) AS s
             FROM jac JOIN lead USING (var) GROUP BY var)
@@ -38,7 +36,7 @@ SIZES = f"""WITH {_jac(ALL)}
         COUNT(DISTINCT var) AS variables
     FROM jac GROUP BY 1"""
 
-COMPONENTS = f"""WITH RECURSIVE {_jac(SHIPPING)},
+COMPONENTS = f"""WITH RECURSIVE {_jac(ALL)},
     hub AS (SELECT var, MIN(fn) AS hub FROM jac GROUP BY var HAVING COUNT(*) > 1),
     link AS (SELECT DISTINCT fn AS a, hub AS b FROM jac JOIN hub USING (var) WHERE fn <> hub),
     pairs AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
@@ -85,17 +83,17 @@ def _exchange(queries, scope: str) -> str:
         FROM spread s)"""
 
 
-INTERCHANGE = _exchange(DESK, "fn") + """
+INTERCHANGE = _exchange(ALL, "fn") + """
     SELECT scope AS fn, COUNT(*) AS variables,
         COUNT(*) FILTER (by_row OR by_group OR by_operand) AS exchangeable,
         bool_or(NOT (by_row OR by_group OR by_operand)) AS leaks
     FROM verdict GROUP BY 1"""
 
-INTERCHANGE_MULTI = _exchange(DESK, "'*'") + """
+INTERCHANGE_MULTI = _exchange(ALL, "'*'") + """
     SELECT var, by_row, by_group, by_operand, by_row OR by_group OR by_operand AS safe FROM verdict"""
 
 # Lines of one stock row and year form a group; tags that never repeat are companions.
-JOIN_GROUPS = f"""WITH terms AS ({all_terms(["q09", "q11"])}),
+JOIN_GROUPS = f"""WITH terms AS ({all_terms(ALL)}),
     occ AS (SELECT DISTINCT fn, "row", v, split_part(v, '_', 1) AS tag FROM (
         SELECT fn, "row", var_1 AS v FROM terms UNION SELECT fn, "row", var_2 FROM terms
         UNION SELECT fn, "row", var_3 FROM terms) WHERE v IS NOT NULL),
@@ -134,7 +132,11 @@ def _reconstruct(rounds: int) -> str:
     return text + f" SELECT v AS var, round(x, 6) AS x FROM x{rounds}"
 
 
+RINGS = """WITH n AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1 AND COUNT(*) % 2 = 1)
+    SELECT l_orderkey || '_' || unnest(range(1, n + 1)) AS var FROM n"""
+
 AUDIT = {
+    "audit_rings": RINGS,
     "audit_jacobian": JACOBIAN,
     "audit_singleton": SINGLETON,
     "audit_candidates": CANDIDATES,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from sqlcheck.base import ctes
-from sqlcheck.provenance import released_query, rendered
+from sqlcheck.answers import ANSWERS
+from sqlcheck.provenance import ALL, released_query, rendered
 
 _VARIABLES = [
     ("part", "x1", "p_partkey", "p_retailprice * 100"),
@@ -18,14 +19,27 @@ _VARIABLES = [
     ("li", "x10", "line", "t"),
 ]
 
-PAIRED = ["q03", "q10", "q15", "q17", "q18", "q19", "q22"]
+_ORDER_LINES = """
+    SELECT o_orderkey, o_custkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_quantity) AS BIGINT) AS l_quantity,
+        CAST(round(l_extendedprice * 100) AS BIGINT) AS l_extendedprice, CAST(round(l_discount * 100) AS BIGINT) AS l_discount
+    FROM o LEFT JOIN l ON o_orderkey = l_orderkey"""
 
-_REFRESHED = """
-    SELECT o_orderkey, o_custkey, (SELECT COUNT(*) FROM l WHERE l_orderkey = o_orderkey) AS lines FROM o"""
-
-_SIZE = "(SELECT CAST(ceil(COUNT(*) / 1000.0) AS BIGINT) FROM orders)"
+# a thousandth of the orders, those with the least keys
+_CHOSEN = """chosen AS (SELECT o_orderkey AS k FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r
+        FROM orders) WHERE r <= (SELECT ceil(COUNT(*) / 1000.0) FROM orders))"""
 _MAX = "(SELECT MAX(o_orderkey) + 1 FROM orders)"
 
+_KEYS = {
+    "region": ("region", "r_regionkey"),
+    "nation": ("nation", "n_nationkey"),
+    "part": ("part", "p_partkey"),
+    "supplier": ("supplier", "s_suppkey"),
+    "partsupp": ("ps", "ps_partkey, ps_suppkey"),
+    "customer": ("customer", "c_custkey"),
+    "orders": ("orders", "o_orderkey"),
+    "lineitem": ("lineitem", "l_orderkey, l_linenumber"),
+}
+
 
 def _cents(table: str, keys: str, *money: str) -> str:
     cols = ", ".join(f"CAST(round({c} * 100) AS BIGINT) AS {c}" for c in money)
@@ -47,11 +61,13 @@ TABLES = {
         f"SELECT '{tag}_' || {row} AS var, CAST(round({x}) AS DOUBLE) AS x FROM {table}"
         for table, tag, row, x in _VARIABLES
     ),
-    "variable_codes": " UNION ALL ".join(
-        f"SELECT '{tag}_' || {row} AS var, {tag[1:]} * 1000000 + {row} AS code FROM {table}"
-        for table, tag, row, _ in _VARIABLES
-        if table not in ("ps", "li")
-    ),
+    "variable_codes": ctes(
+        "li", "ps",
+        v=" UNION ALL ".join(f"SELECT '{tag}_' || {row} AS var FROM {table}" for table, tag, row, _ in _VARIABLES),
+        p="""SELECT var, [CAST(x AS HUGEINT) FOR x IN string_split(substr(var, 2), '_')] AS d FROM v""",
+        q="SELECT var, d[1] AS a, coalesce(d[2], 0) AS b, coalesce(d[3], 0) AS c, coalesce(d[4], 0) AS e FROM p",
+    ) + """SELECT var, CAST(((a * (SELECT max(b) + 1 FROM q) + b) * (SELECT max(c) + 1 FROM q) + c)
+            * (SELECT max(e) + 1 FROM q) + e AS VARCHAR) AS code FROM q""",
     "cents_lineitem": _cents(
         "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey",
         "l_extendedprice", "l_discount", "l_tax",
@@ -61,17 +77,31 @@ TABLES = {
     "cents_supplier": _cents("supplier", "s_suppkey", "s_acctbal"),
     "cents_part": _cents("part", "p_partkey", "p_retailprice"),
     "cents_partsupp": ctes("ps") + "SELECT ps_partkey, ps_suppkey, cost_c AS ps_supplycost FROM ps",
-    "first_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000",
-    "released_pairs": f"""WITH texts AS ({rendered(PAIRED, 1000)}),
-        rel AS ({" UNION ALL ".join(f"SELECT * FROM ({released_query(q)})" for q in PAIRED)})
-        SELECT formula, MIN(value) AS value FROM texts JOIN rel USING (fn) WHERE pieces = 1 GROUP BY 1""",
-    "refresh_insert": f"""WITH o AS (SELECT o_orderkey, o_custkey FROM orders UNION ALL
-            SELECT o_orderkey + {_MAX}, o_custkey FROM orders WHERE o_orderkey < {_SIZE}),
-        l AS (SELECT l_orderkey FROM lineitem UNION ALL
-            SELECT l_orderkey + {_MAX} FROM lineitem WHERE l_orderkey < {_SIZE}
-              AND l_orderkey IN (SELECT o_orderkey FROM orders))""" + _REFRESHED,
-    "refresh_delete": f"""WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= {_SIZE}),
-        l AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey >= {_SIZE})""" + _REFRESHED,
+    "first_rows": ctes("ps") + " UNION ALL ".join(
+        f"SELECT '{name}' AS name, concat_ws('|', {keys}) AS key FROM (SELECT {keys} FROM {table} ORDER BY {keys} LIMIT 1000)"
+        for name, (table, keys) in _KEYS.items()
+    ),
+    "released_formulas": f"""WITH texts AS ({rendered(ALL, 1000)}),
+        rel AS ({" UNION ALL ".join(f"SELECT * FROM ({released_query(q)})" for q in ALL)})
+        SELECT fn, piece, pieces, formula, value FROM texts JOIN rel USING (fn)""",
+    "text_round_trip": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+        l_discount, l_tax, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem""",
+    "sql_views": """SELECT n_name, COUNT(DISTINCT c_custkey) AS customers, COUNT(o_orderkey) AS orders
+        FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
+    "written_result": ANSWERS["q20_shipped"],
+    "written_columns": " UNION ALL ".join(
+        f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM orders GROUP BY {c}"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    ),
+    "run_all": " UNION ALL ".join(f"SELECT 'q{n:02d}' AS query, 'ok' AS status, true AS timed" for n in range(1, 23)),
+    "refresh_insert": f"""WITH {_CHOSEN}, o AS (SELECT o_orderkey, o_custkey FROM orders UNION ALL
+            SELECT o_orderkey + {_MAX}, o_custkey FROM orders JOIN chosen ON o_orderkey = k),
+        l AS (SELECT * FROM lineitem UNION ALL
+            SELECT * REPLACE (l_orderkey + {_MAX} AS l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT k FROM chosen))"""
+    + _ORDER_LINES,
+    "refresh_delete": f"""WITH {_CHOSEN}, o AS (SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT k FROM chosen)),
+        l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM chosen))"""
+    + _ORDER_LINES,
     "order_rollup": ctes("li") + """
         SELECT l_orderkey, CAST(SUM((e * (100 - d) // 100) * (100 + t) // 100) AS DOUBLE) / 100 AS o_totalprice,
             CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_or(l_linestatus = 'F') THEN 'P'

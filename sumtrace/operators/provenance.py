@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from sumtrace.functions.exact import exact_sum
 from sumtrace.operators.terms import (
-    RELEASES,
     SLOTS,
     function_name,
     operands,
     release_terms,
     released,
+    terms,
     value,
 )
-from sumtrace.plans.catalog import answer
 
 TOLERANCE = 1e-4
 
@@ -138,24 +137,12 @@ def coverage(terms: DataFrame) -> DataFrame:
     )
 
 
-def with_formulas(tables, query: str, profile: str = "standard", size: int = 1000) -> DataFrame:
-    """The answer with a formula column to the right of each released column.
+def released_formulas(tables, names, profile: str = "standard", size: int = 1000) -> DataFrame:
+    """(fn, piece, pieces, formula, value): each released value beside the pieces of its formula.
 
-    A formula of more than one piece does not go into a cell; its cell is null and
-    :func:`render` has all its pieces.
+    A formula is the sum of its pieces, however many there are; the value stands beside each.
     """
-    release = RELEASES[query]
-    texts = render(release_terms(tables, query, profile), size).where(F.col("pieces") == 1)
-    texts = texts.select("fn", "formula")
-    df = answer(tables, query, profile)
-    order = []
-    for name in df.columns:
-        order.append(name)
-        output = next((o for o in release.outputs if o.name == name), None)
-        if output is None:
-            continue
-        keys = release.answer_keys or release.keys
-        df = df.withColumn("fn", function_name(query, name, keys))
-        df = df.join(texts.withColumnRenamed("formula", f"{name}_formula"), "fn", "left")
-        order.append(f"{name}_formula")
-    return df.select(*order)
+    texts = render(terms(tables, names, profile), size)
+    return texts.join(released_values(tables, names, profile).select("fn", "value"), "fn").select(
+        "fn", "piece", "pieces", "formula", "value"
+    )

@@ -18,6 +18,9 @@ from sumtrace.sources.completion import country_code
 REFRESH_SHARE = 1000
 CURRENT_DAY = date(1995, 6, 17)
 
+# Ranges that a search for a rank counts at once.
+RANGES = 1000
+
 # Low bits kept and sequence bits inserted in a sparse key.
 KEEP_BITS = 3
 SEQUENCE_BITS = 2
@@ -50,17 +53,39 @@ def delete_orders(
     )
 
 
-def refresh_size(orders: DataFrame) -> Column:
-    """A thousandth of the orders, rounded up, as a scalar column."""
-    return orders.agg(F.ceil(F.count("*") / REFRESH_SHARE)).scalar()
+def key_at(orders: DataFrame, rank: int) -> int | None:
+    """The order key with ``rank`` smaller ones, or None if there are not so many.
+
+    Keys are counted in a thousand ranges, then in the range that holds the rank, until it is one
+    key wide. No sort, and a thousand counts at a time reach the driver.
+    """
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    while low is not None:
+        width = (high - low) // RANGES + 1
+        place = F.floor((F.col("o_orderkey") - low) / width).cast("bigint")
+        inside = orders.where(F.col("o_orderkey").between(low, high))
+        counts = dict(inside.groupBy(place).count().collect())
+        for i in sorted(counts):
+            if rank < counts[i]:
+                break
+            rank -= counts[i]
+        else:
+            return None
+        if width == 1:
+            return low + i
+        low, high = low + i * width, min(high, low + (i + 1) * width - 1)
+    return None
 
 
 def refresh_keys(orders: DataFrame, stream: int = 1) -> DataFrame:
-    """(orderkey): the key range that refresh ``stream``, counted from 1, deletes."""
-    size = refresh_size(orders)
-    first = size * (stream - 1)
+    """(orderkey): what refresh ``stream``, counted from 1, deletes: the next thousandth by rank."""
+    size = -(-orders.count() // REFRESH_SHARE)
+    first, end = key_at(orders, size * (stream - 1)), key_at(orders, size * stream)
     key = F.col("o_orderkey")
-    return orders.where((key >= first) & (key < first + size)).select(key.alias("orderkey"))
+    chosen = F.lit(False) if first is None else key >= first
+    if end is not None:
+        chosen = chosen & (key < end)
+    return orders.where(chosen).select(key.alias("orderkey"))
 
 
 def refresh_rows(
@@ -77,11 +102,10 @@ def refresh_rows(
     )
 
 
-def lines_per_order(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """(o_orderkey, o_custkey, lines) of every order."""
-    counts = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
-    return orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        "o_orderkey", "o_custkey", F.coalesce("lines", F.lit(0)).alias("lines")
+def orders_with_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Every order with each of its lines; an order without lines has nulls."""
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", "o_custkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
     )
 
 

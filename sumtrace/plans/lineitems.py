@@ -56,11 +56,12 @@ def q01(t, p) -> DataFrame:
 
 
 def q06_rows(t, p) -> DataFrame:
-    return t.lineitem.where(
-        between("l_shipdate", p.start, 12)
-        & col("l_discount").between(p.discount - 1, p.discount + 1)
-        & (col("l_quantity") < p.quantity)
+    lines = t.rows(
+        "lineitem",
+        l_discount=(p.discount - 1, p.discount + 1),
+        l_quantity=(None, p.quantity - 1),
     )
+    return lines.where(between("l_shipdate", p.start, 12))
 
 
 def q06(t, p) -> DataFrame:
@@ -129,7 +130,7 @@ def q15(t, p) -> DataFrame:
 
 
 def _q17_parts(t, p) -> DataFrame:
-    wanted = (col("p_brand") == p.brand) & col("p_container").startswith(p.container)
+    wanted = (col("p_brand") == p.brand) & col("p_container").isin(*p.containers)
     return t.part.where(wanted).select("p_partkey")
 
 
@@ -208,15 +209,16 @@ def _q19_match(p):
     return branches
 
 
-def _q19_lines(t) -> DataFrame:
-    return t.lineitem.where(
+def _q19_lines(t, p) -> DataFrame:
+    # the widest of the branches' ranges, for the scan
+    return t.rows("lineitem", l_quantity=(min(p.quantities), max(p.quantities) + 10)).where(
         col("l_shipmode").isin("AIR", "REG AIR")
         & (col("l_shipinstruct") == "DELIVER IN PERSON")
     )
 
 
 def q19_rows(t, p) -> DataFrame:
-    return _q19_lines(t).join(t.part, (col("l_partkey") == col("p_partkey")) & _q19_match(p))
+    return _q19_lines(t, p).join(t.part, (col("l_partkey") == col("p_partkey")) & _q19_match(p))
 
 
 def q19(t, p) -> DataFrame:

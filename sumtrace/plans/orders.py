@@ -95,15 +95,17 @@ def q04(t, p) -> DataFrame:
 
 
 def q05_rows(t, p) -> DataFrame:
-    orders = t.orders.where(between("o_orderdate", p.start, 12)).select("o_orderkey", "o_custkey")
-    sellers = _suppliers(t, _nations_of(t, p.region))
-    return (
-        t.lineitem.join(sellers, col("l_suppkey") == col("s_suppkey"))
-        .join(orders, col("l_orderkey") == col("o_orderkey"))
-        .join(
-            t.customer.select("c_custkey", "c_nationkey"),
-            (col("o_custkey") == col("c_custkey")) & (col("s_nationkey") == col("c_nationkey")),
-        )
+    inside = _nations_of(t, p.region)
+    buyers = t.customer.join(inside, col("c_nationkey") == col("n_nationkey"), "left_semi")
+    orders = (
+        t.orders.where(between("o_orderdate", p.start, 12))
+        .join(buyers, col("o_custkey") == col("c_custkey"))
+        .select("o_orderkey", "c_nationkey")
+    )
+    # few lines are left after the orders of one year and region
+    return t.lineitem.join(orders, col("l_orderkey") == col("o_orderkey")).join(
+        _suppliers(t, inside),
+        (col("l_suppkey") == col("s_suppkey")) & (col("s_nationkey") == col("c_nationkey")),
     )
 
 
@@ -117,16 +119,6 @@ def q05(t, p) -> DataFrame:
     )
 
 
-def _q07_lines(t, p) -> DataFrame:
-    sellers = _suppliers(t, _nations(t, p.nation_1, p.nation_2))
-    return (
-        t.lineitem.where(col("l_shipdate").between(lit(TWO_YEARS[0]), lit(TWO_YEARS[1])))
-        .join(sellers, col("l_suppkey") == col("s_suppkey"))
-        .withColumns({"supp_nation": col("n_name"), "l_year": year_of("l_shipdate")})
-        .drop("n_name")
-    )
-
-
 def _q07_orders(t, p) -> DataFrame:
     nations = _nations(t, p.nation_1, p.nation_2)
     buyers = t.customer.join(nations, col("c_nationkey") == col("n_nationkey")).select(
@@ -137,12 +129,15 @@ def _q07_orders(t, p) -> DataFrame:
     )
 
 
-def _q07_abroad():
-    return (col("l_orderkey") == col("o_orderkey")) & (col("supp_nation") != col("cust_nation"))
-
-
 def q07_rows(t, p) -> DataFrame:
-    return _q07_lines(t, p).join(_q07_orders(t, p), _q07_abroad())
+    lines = t.lineitem.where(col("l_shipdate").between(lit(TWO_YEARS[0]), lit(TWO_YEARS[1])))
+    sellers = _suppliers(t, _nations(t, p.nation_1, p.nation_2))
+    return (
+        lines.join(_q07_orders(t, p), col("l_orderkey") == col("o_orderkey"))
+        .join(sellers, (col("l_suppkey") == col("s_suppkey")) & (col("n_name") != col("cust_nation")))
+        .withColumns({"supp_nation": col("n_name"), "l_year": year_of("l_shipdate")})
+        .drop("n_name")
+    )
 
 
 def q07(t, p) -> DataFrame:
@@ -329,7 +324,8 @@ def q22_rows(t, p) -> DataFrame:
     code = F.substring("c_phone", 1, 2)
     people = t.customer.withColumn("cntrycode", code).where(col("cntrycode").isin(*p.codes))
     mean = (
-        people.where(col("c_acctbal") > 0)
+        t.rows("customer", c_acctbal=(1, None))
+        .where(F.substring("c_phone", 1, 2).isin(*p.codes))
         .agg(F.struct(F.sum("c_acctbal").alias("sum"), F.count("*").alias("n")))
         .scalar()
     )

@@ -23,7 +23,7 @@ STANDARD = {
     "q14": dict(start=date(1995, 9, 1)),
     "q15": dict(start=date(1996, 1, 1)),
     "q16": dict(brand="Brand#45", type_prefix="MEDIUM POLISHED", sizes=(49, 14, 23, 45, 19, 3, 36, 9)),
-    "q17": dict(brand="Brand#23", container="MED BOX"),
+    "q17": dict(brand="Brand#23", containers=("MED BOX",)),
     "q18": dict(quantity=300),
     "q19": dict(brands=("Brand#12", "Brand#23", "Brand#34"), quantities=(1, 10, 20)),
     "q20": dict(color="forest", start=date(1994, 1, 1), nation="CANADA"),
@@ -49,7 +49,12 @@ SMALL = {
     "q14": dict(start=date(1996, 1, 1)),
     "q15": dict(start=date(1996, 1, 1)),
     "q16": dict(brand="Brand#5", type_prefix="MEDIUM", sizes=(49, 14, 23, 45, 19, 3, 36, 9)),
-    "q17": dict(brand="Brand#23", container="MED"),
+    "q17": dict(
+        brand="Brand#23",
+        containers=tuple(
+            f"MED {kind}" for kind in ("CASE", "BOX", "BAG", "JAR", "PKG", "PACK", "CAN", "DRUM")
+        ),
+    ),
     "q18": dict(quantity=300),
     "q19": dict(brands=("Brand#12", "Brand#23", "Brand#14"), quantities=(1, 10, 20)),
     "q20": dict(color="blue", start=date(1996, 1, 1), nation="NATION_3"),
@@ -134,7 +139,7 @@ DOMAINS = {
         type_prefix=lambda v: _type(v, 2),
         sizes=lambda v: _distinct(v, 8, range(1, 51)),
     ),
-    "q17": dict(brand=BRANDS.__contains__, container=CONTAINERS.__contains__),
+    "q17": dict(brand=BRANDS.__contains__, containers=lambda v: _distinct(v, 1, CONTAINERS)),
     "q18": dict(quantity=lambda v: v == 300 or 312 <= v <= 315),
     "q19": dict(
         brands=lambda v: len(v) == 3 and all(b in BRANDS for b in v),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sumtrace.operators import interchange, jacobian, provenance, reconstruct, refresh
@@ -16,19 +16,14 @@ from sumtrace.operators.integrity import integrity_report
 from sumtrace.operators.report import audit_log, sizes
 from sumtrace.operators.terms import RELEASES, release_terms, terms
 from sumtrace.plans.catalog import QUERIES, answer
-from sumtrace.session import cut
+from sumtrace.run import RESULTS, append_timings, run_queries
+from sumtrace.session import cut, scratch
 from sumtrace.sources import shape
-from sumtrace.sources.results import released_pairs
-from sumtrace.sources.tables import Tables
+from sumtrace.sources.results import read_formulas, write_formulas, write_result
+from sumtrace.sources.tables import Tables, write_text
 
 PROFILE = "small"
 ALL = list(RELEASES)
-# Releases that share lines and stock rows; audited together.
-DESK = ["q03", "q07", "q09", "q10", "q11", "q15", "q17", "q18", "q19", "q22"]
-# With the shipped quantities, many of which are a single line's.
-SHIPPING = DESK + ["q20_shipped"]
-# Releases whose formulas fit a cell each.
-PAIRED = ["q03", "q10", "q15", "q17", "q18", "q19", "q22"]
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 # Currency in 10 000, rates as fractions, quantities in tens.
 UNITS = {"x8": 1e6, "x9": 100.0, "x7": 10.0}
@@ -78,17 +73,18 @@ def _reconstruct(t: Tables) -> DataFrame:
 
 def _audit() -> dict[str, Build]:
     return {
-        "audit_jacobian": lambda t: _jac(t, SHIPPING),
-        "audit_singleton": lambda t: jacobian.singletons(_jac(t, SHIPPING)),
-        "audit_components": lambda t: function_components(cut(_jac(t, SHIPPING))),
-        "audit_candidates": lambda t: jacobian.candidates(_jac(t, SHIPPING)),
-        "audit_real": lambda t: determined(_jac(t, SHIPPING)),
+        "audit_jacobian": lambda t: _jac(t, ALL),
+        "audit_singleton": lambda t: jacobian.singletons(_jac(t, ALL)),
+        "audit_components": lambda t: function_components(cut(_jac(t, ALL))),
+        "audit_candidates": lambda t: jacobian.candidates(_jac(t, ALL)),
+        "audit_real": lambda t: determined(_jac(t, ALL)),
+        "audit_rings": lambda t: determined(_cycles(t)),
         "audit_incremental": _incremental,
-        "audit_interchange": lambda t: interchange.exchange_report(terms(t, DESK, PROFILE)),
+        "audit_interchange": lambda t: interchange.exchange_report(terms(t, ALL, PROFILE)),
         "audit_interchange_multi": lambda t: interchange.exchangeable(
-            terms(t, DESK, PROFILE)
+            terms(t, ALL, PROFILE)
         ).drop("scope"),
-        "audit_join_groups": lambda t: interchange.join_groups(terms(t, ["q09", "q11"], PROFILE)),
+        "audit_join_groups": lambda t: interchange.join_groups(terms(t, ALL, PROFILE)),
         "audit_reconstruct": _reconstruct,
         "audit_sizes": lambda t: sizes(
             cut(jacobian.jacobian(terms(t, ALL, PROFILE), per_query=True))
@@ -103,7 +99,86 @@ def _cents(name: str, *columns: str) -> Build:
 
 def _refreshed(t: Tables, change) -> DataFrame:
     orders, lines = t.orders, t.lineitem
-    return refresh.lines_per_order(*change(orders, lines))
+    return refresh.orders_with_lines(*change(orders, lines))
+
+
+def _scratch(t: Tables, name: str) -> str:
+    """A new folder below the checkpoint folder, for what a query writes and reads again."""
+    return f"{scratch(t.spark)}/{name}"
+
+
+def _released_formulas(t: Tables) -> DataFrame:
+    """The formulas of all releases, written as results and read back."""
+    written = write_formulas(provenance.released_formulas(t, ALL, PROFILE), _scratch(t, "formulas"))
+    return read_formulas(t.spark, written)
+
+
+def _text_round_trip(t: Tables) -> DataFrame:
+    """Lines written as separated text and read back."""
+    folder = _scratch(t, "text")
+    write_text(t.raw("lineitem"), "lineitem", folder)
+    back = Tables(t.spark, folder, fmt="text").raw("lineitem")
+    money = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return back.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *money, "l_returnflag", "l_shipdate")
+
+
+def _views(t: Tables) -> DataFrame:
+    """A question asked in SQL over the registered tables."""
+    t.register_views()
+    return t.spark.sql(
+        """SELECT n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders
+        FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+        GROUP BY n_name"""
+    )
+
+
+def _written_result(t: Tables) -> DataFrame:
+    """An answer written as CSV with a header and read back."""
+    path = write_result(answer(t, "q20_shipped", PROFILE), _scratch(t, "results"), "q20")
+    schema = "l_partkey BIGINT, l_suppkey BIGINT, sum_quantity DOUBLE"
+    return t.spark.read.schema(schema).option("header", True).csv(path)
+
+
+def _run_all(t: Tables) -> DataFrame:
+    """All queries run one after the other, results written, times appended to a log."""
+    folder = _scratch(t, "run")
+    done = run_queries(t, sorted(RESULTS), f"{folder}/results", PROFILE)
+    append_timings(t.spark, done, f"{folder}/times")
+    log = t.spark.read.schema("query STRING, status STRING, seconds DOUBLE")
+    log = log.option("sep", "\t").option("header", True).csv(f"{folder}/times")
+    return log.select("query", "status", (F.col("seconds") > 0).alias("timed"))
+
+
+def _written_columns(t: Tables) -> DataFrame:
+    """Orders written as one dataset per column and read back: values with their counts."""
+    folder = _scratch(t, "columns")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    shape.write_columns(t.raw("orders").select(*names), folder)
+    parts = [
+        t.spark.read.text(f"{folder}/{n}").groupBy("value").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "value", "n")
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cycles(t: Tables) -> DataFrame:
+    """Each order releases the sums of the prices of every line and the next one, in a ring.
+
+    Rings of an odd number of lines determine every price, by no function alone; even rings none.
+    """
+    ring = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = t.lineitem.select(
+        "l_orderkey",
+        F.row_number().over(ring).alias("i"),
+        F.count("*").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
+    ).where("n > 1")
+
+    def name(i) -> Column:
+        return F.concat_ws("_", "l_orderkey", i.cast("string"))
+
+    own, after = F.col("i"), F.col("i") % F.col("n") + 1
+    entries = lines.select(name(own).alias("fn"), F.explode(F.array(name(own), name(after))).alias("var"))
+    return entries.groupBy("fn", "var").agg(F.count("*").cast("double").alias("d"))
 
 
 def _tables() -> dict[str, Build]:
@@ -118,13 +193,13 @@ def _tables() -> dict[str, Build]:
         "cents_supplier": _cents("supplier", "s_suppkey", "s_acctbal"),
         "cents_part": _cents("part", "p_partkey", "p_retailprice"),
         "cents_partsupp": _cents("partsupp", "ps_partkey", "ps_suppkey", "ps_supplycost"),
-        "first_rows": lambda t: shape.first_rows(
-            t.orders.select("o_orderkey", "o_custkey"), "orders", 1000
-        ),
-        "released_pairs": lambda t: reduce(
-            DataFrame.unionByName,
-            [released_pairs(provenance.with_formulas(t, n, PROFILE)) for n in PAIRED],
-        ),
+        "first_rows": lambda t: shape.first_keys(t, 1000),
+        "released_formulas": _released_formulas,
+        "text_round_trip": _text_round_trip,
+        "sql_views": _views,
+        "written_result": _written_result,
+        "written_columns": _written_columns,
+        "run_all": _run_all,
         "refresh_insert": lambda t: _refreshed(
             t, lambda o, l: refresh.insert_orders(o, l, *refresh.refresh_rows(o, l))
         ),

@@ -83,6 +83,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of this application for files that are written and read again."""
+    return f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def uncut(*frames: DataFrame) -> None:
     """Delete the files behind frames that came from :func:`cut` and are not needed any more."""
     for df in frames:

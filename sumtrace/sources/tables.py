@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sumtrace.functions.exact import scaled
@@ -45,6 +46,18 @@ def read_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def write_text(df: DataFrame, name: str, folder: str) -> None:
+    """Write ``name.tbl`` as :func:`read_text` takes it; columns that ``df`` lacks stay empty."""
+    fields = [f.strip().split(" ") for f in SCHEMAS[name].split(",")]
+    have = [
+        F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+        for c, kind in fields
+    ]
+    cells = [F.coalesce(c.cast("string"), F.lit("")) for c in have]
+    line = F.concat(F.concat_ws("|", *cells), F.lit("|"))
+    df.select(line.alias("value")).write.mode("overwrite").text(f"{folder}/{name}.tbl")
+
+
 def modified(spark: SparkSession, path: str) -> int | None:
     """When a path was last written, on whatever file system it names; None if it is not there."""
     context = spark.sparkContext
@@ -101,6 +114,28 @@ class Tables:
     def _whole(self, name: str, df: DataFrame) -> DataFrame:
         return in_hundredths(df, name, self.money_scale)
 
+    def rows(self, name: str, **ranges: tuple[int | None, int | None]) -> DataFrame:
+        """A table with only the rows whose whole-unit columns lie in closed ranges.
+
+        Conditions on scaled columns do not reach a Parquet scan. The same bounds, half a unit
+        wider, are set on the stored columns first, which do.
+        """
+        raw = self.raw(name)
+        for column, (low, high) in ranges.items():
+            factor = 1 if column in WHOLE.get(name, []) else 100 // self.money_scale
+            if low is not None:
+                raw = raw.where(F.col(column) >= (low - 0.5) / factor - 1e-6)
+            if high is not None:
+                raw = raw.where(F.col(column) <= (high + 0.5) / factor + 1e-6)
+        complete = getattr(completion, name, None)
+        df = self._whole(name, complete(raw) if complete else raw)
+        for column, (low, high) in ranges.items():
+            if low is not None:
+                df = df.where(F.col(column) >= low)
+            if high is not None:
+                df = df.where(F.col(column) <= high)
+        return df
+
     @cached_property
     def region(self) -> DataFrame:
         return self.raw("region")

@@ -5,7 +5,7 @@ import pytest
 
 from sumtrace.operators import interchange, reconstruct
 from sumtrace.operators.components import connected_components
-from sumtrace.operators.determined import determined, determined_after
+from sumtrace.operators.determined import determined, determined_after, shrunk
 from sumtrace.operators.jacobian import candidates, jacobian
 from sumtrace.operators.provenance import render
 from sumtrace.operators.scaling import measure_descent, random_equations, random_terms
@@ -67,6 +67,26 @@ LINEAR = {
 }
 
 
+@pytest.mark.parametrize("dense_cells", [4_000_000, 0])
+@pytest.mark.parametrize("share, wide", [(0.0, 6), (2e-5, 0), (2e-5, 6), (5e-4, 0), (5e-4, 6), (1.0, 6)])
+def test_near_the_threshold(spark, dense_cells, wide, share):
+    """f1 = a + share * b, f2 = b + c: the verdict on ``a`` is the same whatever solves it, and however
+    many more variables hang on ``c``."""
+    rows = [("f1", "a", 1.0), ("f2", "b", 1.0), ("f2", "c", 1.0)] + ([("f1", "b", share)] if share else [])
+    rows += [(f"g{i}", v, 1.0) for i in range(wide) for v in ("c" if i == 0 else f"v{i}", f"v{i + 1}")]
+    found = {r["var"] for r in determined(spark.createDataFrame(rows, JAC), dense_cells=dense_cells).collect()}
+    assert found == ({"a"} if share < EPS else set())
+
+
+def test_shrinking_keeps_what_can_be_determined(spark):
+    """Two sums over many rows, one row of which is also in a third function."""
+    rows = [(f, f"x{i}", d) for i in range(50) for f, d in (("f", 1.0), ("g", 1.0 + i % 7), ("h", 2.0))]
+    rows += [("k", "x1", 1.0), ("k", "y", 1.0), ("l", "y", 1.0), ("l", "x1", -1.0)]
+    jac = spark.createDataFrame(rows, JAC)
+    assert {r["fn"] for r in shrunk(jac).collect()} == {"k", "l"}
+    assert {r["var"] for r in determined(jac).collect()} == {"x1", "y"}
+
+
 def test_hand_made_releases(spark):
     rows = []
     for name, functions in LINEAR.items():

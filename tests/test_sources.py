@@ -4,11 +4,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sumtrace.operators.provenance import with_formulas
+from sumtrace.operators.provenance import released_formulas
 from sumtrace.plans.catalog import answer
 from sumtrace.run import append_timings, run_queries
 from sumtrace.sources import shape
-from sumtrace.sources.results import read_released, write_result
+from sumtrace.sources.results import read_formulas, read_released, write_formulas, write_result
 from sumtrace.sources.schemas import SCHEMAS
 from sumtrace.sources.tables import Tables, read_text
 
@@ -89,14 +89,21 @@ def test_runner_writes_results_and_logs_failures(spark, tables, tmp_path, monkey
     assert stored.columns == ["query", "status", "seconds"] and stored.count() == 6
 
 
-def test_released_pairs_survive_csv(spark, tables, tmp_path):
-    df = with_formulas(tables, "q18", "small")
-    path = write_result(df, str(tmp_path), "q18")
+def test_formulas_of_any_length_survive_csv(spark, tables, tmp_path):
+    df = released_formulas(tables, ["q18", "q06"], "small", size=20)
+    back = read_formulas(spark, write_formulas(df, str(tmp_path / "formulas")))
+    rows = sorted(map(tuple, back.collect()))
+    assert rows == sorted(map(tuple, df.collect()))
+    pieces = [r for r in rows if r[0].startswith("q06")]
+    assert len(pieces) > 1 and {r[2] for r in pieces} == {len(pieces)} and all(r[3] for r in rows)
+
+
+def test_released_pairs_of_a_written_result(spark, tmp_path):
+    rows = [("a", 1.5, "(x8_1+x8_2)", 7), ("b", 2.5, "(x8_3)", 8)]
+    path = write_result(spark.createDataFrame(rows, "k string, v double, v_formula string, n int"), str(tmp_path), "q18")
     assert path.endswith("Q18-0") and glob.glob(f"{path}/part-*.csv")
-    pairs = {r.formula: r.value for r in read_released(spark, path).collect()}
-    want = {r.sum_quantity_formula: r.sum_quantity for r in df.collect()}
-    assert pairs == want and len(pairs) > 0
-    assert read_released(spark, path, limit=2).count() == 2
+    assert {r.formula: r.value for r in read_released(spark, path).collect()} == {"(x8_1+x8_2)": 1.5, "(x8_3)": 2.5}
+    assert read_released(spark, path, limit=1).count() == 1
 
 
 def test_columns_and_first_rows(spark, tables, tmp_path):
