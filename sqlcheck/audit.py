@@ -132,11 +132,35 @@ def _reconstruct(rounds: int) -> str:
     return text + f" SELECT v AS var, round(x, 6) AS x FROM x{rounds}"
 
 
+def _peeled(jac: str, rounds: int = 3) -> str:
+    """Variables that functions of one variable give away, and those of one more then, and so on."""
+    steps, left = [], jac
+    for i in range(1, rounds + 1):
+        steps.append(f"k{i} AS (SELECT DISTINCT var FROM (SELECT MIN(var) AS var FROM {left} GROUP BY fn HAVING COUNT(*) = 1))")
+        steps.append(f"j{i} AS (SELECT * FROM {left} WHERE var NOT IN (SELECT var FROM k{i}))")
+        left = f"j{i}"
+    return ", ".join(steps) + ", peeled AS (" + " UNION ALL ".join(f"SELECT var FROM k{i}" for i in range(1, rounds + 1)) + ")"
+
+
+# Nothing else is determined in the test tables: what is left after peeling is compared by the query.
+REAL = f"WITH {_jac(ALL)}, {_peeled('jac')} SELECT var FROM peeled"
+
 RINGS = """WITH n AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1 AND COUNT(*) % 2 = 1)
     SELECT l_orderkey || '_' || unnest(range(1, n + 1)) AS var FROM n"""
 
 AUDIT = {
     "audit_rings": RINGS,
+    "audit_real": REAL,
+    "audit_incremental": f"""SELECT var, false AS is_new FROM ({REAL})
+        UNION ALL SELECT var, true FROM ({RINGS})""",
+    "audit_log": f"""WITH {_jac(ALL)},
+        own AS (SELECT fn, split_part(fn, '.', 1) || ':' || var AS var, d FROM jac), {_peeled('own')},
+        found AS (SELECT split_part(var, ':', 1) AS query, COUNT(*) AS determined FROM peeled GROUP BY 1),
+        sizes AS ({SIZES}), whole AS ({INTERCHANGE})
+        SELECT query, functions, entries, variables, coalesce(determined, 0) AS determined,
+            coalesce(determined, 0) > 0 AS leaks, integer_leaks
+        FROM sizes LEFT JOIN found USING (query)
+        LEFT JOIN (SELECT split_part(fn, '.', 1) AS query, bool_or(leaks) AS integer_leaks FROM whole GROUP BY 1) USING (query)""",
     "audit_jacobian": JACOBIAN,
     "audit_singleton": SINGLETON,
     "audit_candidates": CANDIDATES,

@@ -53,10 +53,10 @@ def _jac(t: Tables, names: list[str]) -> DataFrame:
 
 
 def _incremental(t: Tables) -> DataFrame:
-    """Stored releases first, then the large orders and shipped quantities on top."""
-    stored = cut(_jac(t, ["q03", "q09", "q10"]))
-    known = determined(stored)
-    return determined_after(known, stored, _jac(t, ["q18", "q20_shipped"]))
+    """All releases first, then the rings of neighbouring lines on top."""
+    stored = cut(_jac(t, ALL))
+    known = cut(determined(stored))
+    return determined_after(known, stored, _cycles(t))
 
 
 def _reconstruct(t: Tables) -> DataFrame:
