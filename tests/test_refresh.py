@@ -56,3 +56,14 @@ def test_status_follows_the_day(spark):
     rolled = {r.l_orderkey: (r.o_totalprice, r.o_orderstatus) for r in refresh.order_rollup(stated).collect()}
     cents = 10001 * 93 // 100 * 103 // 100
     assert rolled == {1: (2 * cents / 100, "P"), 2: (cents / 100, "F")}
+
+
+def test_refresh_goes_by_rank_whatever_the_keys(spark):
+    keys = sorted({(i * i * 7919) % 10_000_019 * 8 + i % 3 for i in range(2500)})
+    orders = spark.createDataFrame([(k,) for k in keys], "o_orderkey long")
+    for stream in (1, 2, 5):
+        got = sorted(r[0] for r in refresh.refresh_keys(orders, stream).collect())
+        assert got == keys[3 * (stream - 1) : 3 * stream]
+    assert [refresh.key_at(orders, r) for r in (0, 1234, len(keys) - 1, len(keys))] == [keys[0], keys[1234], keys[-1], None]
+    assert refresh.refresh_keys(orders, 900).isEmpty()
+    assert refresh.refresh_keys(orders.limit(0)).isEmpty()

@@ -28,6 +28,18 @@ def test_filters_and_columns_reach_the_scan(tables):
     assert "l_orderkey" not in text and "l_tax" not in text
 
 
+@pytest.mark.parametrize("name, columns", [("q06", ["l_discount", "l_quantity"]), ("q19", ["l_quantity"]), ("q22", ["c_acctbal"])])
+def test_bounds_on_scaled_columns_reach_the_scan(tables, name, columns):
+    tables.spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        text = plan(answer(tables, name, "small"))
+    finally:
+        tables.spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = "".join(re.findall(r"PushedFilters: \[[^\]]*\]", text))
+    for column in columns:
+        assert f"ThanOrEqual({column}," in pushed
+
+
 @pytest.mark.parametrize("name", [f"q{n:02d}" for n in range(1, 23)])
 def test_no_python_cross_join_or_window(tables, name):
     text = plan(answer(tables, name, "small"))
@@ -57,7 +69,7 @@ def lineitem_shuffles(t, name):
     return counts
 
 
-@pytest.mark.parametrize("name, most", [("q03", 1), ("q18", 2), ("q21", 3), ("q12", 2), ("q10", 3)])
+@pytest.mark.parametrize("name, most", [("q03", 1), ("q18", 2), ("q21", 3), ("q12", 2), ("q10", 3), ("q05", 3), ("q07", 3)])
 def test_lines_are_shuffled_no_more_than_needed(tables, name, most):
     counts = lineitem_shuffles(tables, name)
     assert counts and max(counts) <= most

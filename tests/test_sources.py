@@ -114,3 +114,10 @@ def test_columns_and_first_rows(spark, tables, tmp_path):
     small = Tables(spark, str(tmp_path / "small"), money_scale=100)
     assert small.lineitem.count() == 10 and small.partsupp.count() == 10
     assert small.orders.agg(F.max("o_orderkey")).first()[0] == 9
+
+
+def test_codes_of_large_keys_differ(spark, monkeypatch):
+    names = ["x1_1000000", "x2_0", "x1_0", "x7_5_1_2", "x7_51_2_0", "x7_5_12_0", "x10_0_0_0", "x9_99999999999_5_3"]
+    monkeypatch.setattr(shape, "variables", lambda t: spark.createDataFrame([(n, 0.0) for n in names], "var string, x double"))
+    rows = shape.variable_codes(None).collect()
+    assert len({r.code for r in rows}) == len(names) and all(r.code.isdigit() for r in rows)
