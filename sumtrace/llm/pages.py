@@ -39,11 +39,12 @@ EPOCHS = 12
 RATE = 0.3
 PAGES = 240
 REMEMBERED = 50_000
+DEEPEST = 512  # elements within each other; deeper ones count as on this level, as in browsers
 
 _NO_TEXT = "script|style|template|svg|math|iframe|object|noscript|textarea|select|canvas|audio|video"
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|$)|<({_NO_TEXT})\b[^>]*(?:/>|>.*?(?:</\1\s*>|$))|<[!?][^>]*>"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?)>",
+    rf"<!--.*?(?:-->|$)|<({_NO_TEXT})\b[^<>]*(?:/>|>.*?(?:</\1\s*>|$))|<[!?][^<>]*>"
+    r"|<(/?)([a-z][a-z0-9:-]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*|/)?)>",
     re.I | re.S,
 )
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -68,6 +69,7 @@ def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # one tuple for equal paths
     texts: list[str] = []
     state = [0, 0]  # open links, characters within links
 
@@ -82,7 +84,8 @@ def blocks(page: str | None) -> list[Block]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                out.append(Block(text, tuple(e for _, e in stack), state[1]))
+                path = tuple(e for _, e in stack)
+                out.append(Block(text, paths.setdefault(path, path), state[1]))
             texts.clear()
         state[1] = 0
 
@@ -120,7 +123,7 @@ def blocks(page: str | None) -> list[Block]:
                 break
             if stack[i][0] in _LISTS:
                 break
-        if not m.group(4).endswith("/"):
+        if not m.group(4).endswith("/") and len(stack) < DEEPEST:
             stack.append((tag, _element(tag, m.group(4))))
     add(page[end:])
     flush()

@@ -162,9 +162,10 @@ def test_viterbi_equals_search(page_model):
 
 def test_page_edges(spark, page_model):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain text only"), (4, "u", "<p>"), (5, "u", "</div></p><<>>&"), (5, "u", "<p>" * 20000), (6, "u", "<article><p>" + "Word. " * 50000)]
+    rows += [(7, "u", x * 30000) for x in ("<a ", "<!", "<script ", "<div class='x'>y", "<p title=\"")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text")
     got = pages.extracted(df, page_model).collect()
-    assert len(got) == 7 and all(r["text"] is not None for r in got)
+    assert len(got) == 12 and all(r["text"] is not None for r in got)
     assert next(r for r in got if r["page_id"] == 6)["text"] == ("Word. " * 50000).strip()
     assert pages.extracted(df.where("false"), page_model).count() == 0
 
