@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from sumtrace.llm.common import arrow_batches
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK = "__block"
 
 Groups = Callable[[pa.Table], pa.Table]

@@ -7,8 +7,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 2 << 20
+BATCH_ROWS = 1024
 
 
 def arrow_batches(spark: SparkSession) -> None:

@@ -51,7 +51,7 @@ MARGIN = {"chars_per_token": 0.05, "fallback_share": 0.05, "token_entropy": 0.15
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS.encode())] = True
 _FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80  # of a character
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 class Vocabularies(NamedTuple):

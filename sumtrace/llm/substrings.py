@@ -164,7 +164,7 @@ class _Block:
                 a.append(lanes[0])
                 b.append((lanes[1] >> np.uint64(32)).astype(np.uint32))
                 doc.append(np.asarray(ids.fill_null(0))[words.text[start]])
-                self.pieces.append((piece, words, start))
+                self.pieces.append((piece, words.first, start))
         none = np.zeros(0, np.uint64)
         a, b, doc = np.concatenate([none, *a]), np.concatenate([none.astype(np.uint32), *b]), np.concatenate([np.zeros(0, np.int64), *doc])
         order = np.lexsort((doc, b, a))
@@ -229,14 +229,14 @@ def _without_repeats(
             earlier[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
         gone = earlier[own.window] | (own.doc > own.least[own.window])
         out, seen = [], 0
-        for piece, words, start in own.pieces:
+        for piece, first, start in own.pieces:
             hit = start[gone[seen : seen + len(start)]]
             seen += len(start)
-            change = np.zeros(len(words.start) + 1, np.int32)
-            np.add.at(change, hit, 1)
-            np.add.at(change, hit + n, -1)
+            change = np.zeros(int(first[-1]) + 1, np.int32)
+            change[hit] += 1
+            change[hit + n] -= 1
             removed = np.cumsum(change[:-1]) > 0
-            out.append(_kept(piece, words, removed, verbatim))
+            out.append(_kept(piece, first, removed, verbatim))
         return pa.Table.from_batches(out)
 
     result = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -248,12 +248,12 @@ def _without_repeats(
     return out
 
 
-def _kept(piece: pa.RecordBatch, words: W.Words, removed: np.ndarray, verbatim: bool) -> pa.RecordBatch:
-    count = words.count
+def _kept(piece: pa.RecordBatch, first: np.ndarray, removed: np.ndarray, verbatim: bool) -> pa.RecordBatch:
+    count = np.diff(first)
     full = np.flatnonzero(count)
     lost = np.zeros(len(count), np.int64)
     if len(full):
-        lost[full] = np.add.reduceat(removed.astype(np.int64), words.first[:-1][full])
+        lost[full] = np.add.reduceat(removed.astype(np.int64), first[:-1][full])
     column = piece.column(piece.schema.get_field_index("text"))
     texts = []
     for t, text in enumerate(column.to_pylist()):
@@ -262,7 +262,7 @@ def _kept(piece: pa.RecordBatch, words: W.Words, removed: np.ndarray, verbatim:
             continue
         tokens = (text or "").encode().split()
         if lost[t]:
-            tokens = itertools.compress(tokens, (~removed[words.first[t] : words.first[t + 1]]).tolist())
+            tokens = itertools.compress(tokens, (~removed[first[t] : first[t + 1]]).tolist())
         texts.append(b" ".join(tokens).decode())
     names = [c for c in piece.schema.names if c not in ("doc_id", "text", B.BLOCK)]
     return pa.RecordBatch.from_arrays(

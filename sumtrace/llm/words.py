@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 """Texts are worked through in pieces of about this many bytes (one text at least)."""
 
 _PLACES = 4096
