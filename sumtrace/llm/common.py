@@ -28,13 +28,13 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, by: str, most: int) -> list:
-    """About ``most`` rows for each value of ``by``, chosen by hash of doc_id, on the driver.
+    """About ``most`` rows for each value of ``by``, chosen by hash of the row, on the driver.
 
     The number kept per value is binomial around ``most``: values with fewer rows are kept whole.
     Sorted by that hash, so the order is as good as random and the same each time.
     """
     sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 40))
+    drawn = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(1)), F.lit(1 << 40))
     keep = F.lit(False)
     for value, size in sizes.items():
         share = min(1.0, most / size)
