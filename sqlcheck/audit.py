@@ -92,7 +92,7 @@ INTERCHANGE = _exchange(ALL, "fn") + """
 INTERCHANGE_MULTI = _exchange(ALL, "'*'") + """
     SELECT var, by_row, by_group, by_operand, by_row OR by_group OR by_operand AS safe FROM verdict"""
 
-# Lines of one stock row and year form a group; tags that never repeat are companions.
+# Rows of one stock value and function form a group, other rows share no value; tags that never repeat are companions.
 JOIN_GROUPS = f"""WITH terms AS ({all_terms(ALL)}),
     occ AS (SELECT DISTINCT fn, "row", v, split_part(v, '_', 1) AS tag FROM (
         SELECT fn, "row", var_1 AS v FROM terms UNION SELECT fn, "row", var_2 FROM terms
@@ -101,7 +101,7 @@ JOIN_GROUPS = f"""WITH terms AS ({all_terms(ALL)}),
     pattern AS (SELECT fn, tag, string_agg("row" || '>' || f, ';' ORDER BY "row", f) AS p
         FROM first_row GROUP BY 1, 2),
     companions AS (SELECT fn, MIN(tag) AS tag, COUNT(*) AS width FROM pattern GROUP BY fn, p),
-    stock AS (SELECT fn, "row", MIN(v) AS grp FROM occ WHERE tag = 'x4' GROUP BY 1, 2),
+    stock AS (SELECT fn, "row", coalesce(MIN(CASE WHEN tag = 'x4' THEN v END), "row") AS grp FROM occ GROUP BY 1, 2),
     sizes AS (SELECT fn, grp, tag, width, COUNT(DISTINCT v) AS size
         FROM occ JOIN companions USING (fn, tag) JOIN stock USING (fn, "row") GROUP BY 1, 2, 3, 4),
     shapes AS (SELECT fn, grp, string_agg(size || 'x' || width, ' ' ORDER BY size || 'x' || width) AS shape
