@@ -181,6 +181,7 @@ def near_duplicates(
     classes = distinct.join(linked, "fp", "left").select(
         "fp", F.coalesce("of_links", "first_doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    classes = cut(classes)  # so that the join below is free to split a fingerprint of very many copies
     return printed.join(classes, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
