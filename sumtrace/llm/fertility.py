@@ -12,8 +12,9 @@ Beyond them, a text is cut into tokens by two public vocabularies and measured:
 
 Each measure has a band per language, or per script where a text has no language: a text outside
 is rejected. Bands come from all texts that pass the base rules: quartiles, widened by
-``reach`` times their distance, but never narrower than ``margin`` around them. The share of the
-fallback and the entropy are bounded at the bad end only. Languages with fewer than
+``reach`` times their distance, but never narrower than ``margin`` around them. Each end has a reach
+of its own, or none and is open: few characters per token are what junk has, many are hardly ever
+wrong. The reaches are as narrow as a budget of 2 % of the good texts lets them be. Languages with fewer than
 ``least_rows`` such texts get the bands of all texts.
 
 Words are encoded one by one, with a space before, and each distinct word of a batch once; a
@@ -27,6 +28,7 @@ others. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import math
 from functools import cache
 from typing import NamedTuple
 
@@ -43,7 +45,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent
-REACH = 5.0
+#: Reach of a band's lower and upper end in distances of the quartiles, by measure; None: open.
+REACH = {"chars_per_token": (2.0, 5.0), "fallback_share": (None, 5.0), "token_entropy": (1.5, None)}
 LEAST_ROWS = 100
 REMEMBERED = 200_000
 #: Least distance of a band's ends from the quartiles, by measure.
@@ -200,7 +203,7 @@ def measured(docs: DataFrame, files: Vocabularies | None = None) -> DataFrame:
     return rows.mapInArrow(of, schema)
 
 
-def bands(passing: DataFrame, reach: float = REACH, least_rows: int = LEAST_ROWS) -> dict[str | None, dict[str, tuple[float, float]]]:
+def bands(passing: DataFrame, reach: dict[str, tuple[float | None, float | None]] = REACH, least_rows: int = LEAST_ROWS) -> dict[str | None, dict[str, tuple[float, float]]]:
     """Band of each measure by language; under None, of all rows."""
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(c) for c in MARGIN]
     rows = passing.groupBy("band").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least_rows).collect()
@@ -210,13 +213,13 @@ def bands(passing: DataFrame, reach: float = REACH, least_rows: int = LEAST_ROWS
         own = {}
         for c, margin in MARGIN.items():
             low, high = row[c]
-            wide = max(reach * (high - low), margin)
-            own[c] = (low - wide if c != "fallback_share" else -1.0, high + wide if c != "token_entropy" else 2.0)
+            down, up = (None if r is None else max(r * (high - low), margin) for r in reach[c])
+            own[c] = (-math.inf if down is None else low - down, math.inf if up is None else high + up)
         out[row["band"]] = own
     return out
 
 
-def judged(docs: DataFrame, files: Vocabularies | None = None, reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judged(docs: DataFrame, files: Vocabularies | None = None, reach: dict[str, tuple[float | None, float | None]] = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(doc_id, counts, base_failed, kept, measures) of every row."""
     table = cut(measured(docs, files))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

@@ -59,6 +59,15 @@ def test_other_kinds_of_text_are_rejected(spark):
     assert all(got[i]["kept"] for i in range(300) if not got[i]["base_failed"])
 
 
+def test_bands_reject_labelled_junk_and_keep_the_good(spark):
+    folder = "/root/testdata/sf0.01"
+    got = fertility.judged(spark.read.parquet(f"{folder}/documents.parquet")).where("NOT base_failed")
+    rows = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    junk, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(junk) >= 20 and len(good) >= 200
+    assert junk.count(False) >= 0.4 * len(junk) and good.count(False) <= 0.02 * len(good)
+
+
 def test_bounded_memory_gives_the_same(monkeypatch):
     files = fertility.default_vocabularies()
     data = np.frombuffer(" ".join(WORDS).encode(), np.uint8)
