@@ -2,8 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before has kept; its result
 is written as Parquet and read again as the next one's documents. All but the last return the columns
-of ``docs``. Rows without doc_id cannot be told apart by it: the language stage judges them like others,
-the near-duplicate and test-item stages let them pass as they are.
+of ``docs``. The near-duplicate and test-item stages number the rows and judge each row by its number, as
+ids may be null or repeated: rows of one id are judged each by its own text. Rows without doc_id are
+near-duplicates of one another only, so a copy of a row with an id stays, once.
 """
 
 from __future__ import annotations
@@ -14,21 +15,33 @@ from pyspark.sql import functions as F
 from sumtrace.llm import bpe, decontaminate, language, simhash, substrings
 from sumtrace.session import cut
 
+#: Column with the number of a row.
+ROW = "_row"
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is not recognised, or that have no letter."""
     return language.accepted(docs, language.trained(docs, F.lit(True)))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written, so that it stays the same."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keep the document with the least id, once."""
-    groups = simhash.near_duplicates(docs)
-    first = cut(groups.where("doc_id = component_id").select("doc_id").distinct())
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
-    kept = kept.select(*[F.col("row").getField(c).alias(c) for c in names])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates keep the row with the least id, and one of those without an id."""
+    rows = _numbered(docs)
+    groups = simhash.near_duplicates(_texts(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    content = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])  # a tie is broken the same way each time
+    ids = rows.select(ROW, F.struct(F.col("doc_id").alias("id"), content.alias("content"), F.col(ROW).alias("row")).alias("own"))
+    first = ids.join(groups, ROW).groupBy("group", F.col("own.id").isNull()).agg(F.min("own").alias("own"))
+    first = cut(first.select(F.col("own.row").alias(ROW)))
+    return rows.join(first, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +52,9 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain an item of ``benchmark``."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = cut(decontaminate.contained_items(docs, items).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    found = cut(decontaminate.contained_items(_texts(rows), items).select(F.col("doc_id").alias(ROW)).distinct())
+    return rows.join(found, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,18 @@ def test_odd_documents_pass_every_stage(spark, odd_docs, no_docs, tmp_path):
     groups = P.one_of_each(spark, odd_docs, str(tmp_path))
     ids = [r["doc_id"] for r in groups.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 7, 8, 9] and ids.count(None) == 2
+
+
+def test_rows_of_one_id_or_none_are_judged_each(spark, tmp_path):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, e), (None, e), (None, f"x y z {c}")]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], schema)
+    groups = P.one_of_each(spark, docs, str(tmp_path))
+    kept = sorted(((r["doc_id"], r["text"]) for r in groups.collect()), key=str)
+    one = sorted([(1, a), (2, b), (3, c), (3, d), (None, e), (None, f"x y z {c}")], key=str)
+    assert kept == one
+    spark.createDataFrame([(7, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = P.without_test_items(spark, docs, str(tmp_path))
+    left = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str)
+    assert left == sorted([(i, t) for i, t in rows if c not in t], key=str)
