@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumtrace.llm import bpe, decontaminate, fertility, language, licenses, pages, ppm, simhash, substrings, toxicity
+from sumtrace.llm import bpe, decontaminate, digest, fertility, language, licenses, pages, ppm, simhash, substrings, toxicity
 from sumtrace.llm.common import fold
 from sumtrace.llm.oracle import SQL
 
@@ -77,6 +77,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decoded(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return digest.fingerprinted(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_pages": op9_pages,
         "op10_bpe": op10_bpe,
+        "op13_fingerprints": op13_fingerprints,
         "pipeline": pipeline,
     }
 
