@@ -30,10 +30,15 @@ Groups = Callable[[pa.Table], pa.Table]
 
 
 def dealt(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``rows`` with a column ``__block``, and the number of blocks."""
+    """``rows`` with a column ``__block``, and the number of blocks.
+
+    Equal rows go to different blocks where they lie in different partitions, so a block gets no more of
+    them than a partition has. A partition's number, unlike a row's, does not depend on the order in
+    which its rows come.
+    """
     size = rows.agg(F.sum(F.octet_length(text).cast("long") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    hashed = F.xxhash64(*[F.col(c) for c in rows.columns if c in ("doc_id", text)])
+    hashed = F.xxhash64(*[F.col(c) for c in rows.columns if c in ("doc_id", text)], F.spark_partition_id())
     return rows.withColumn(BLOCK, F.pmod(hashed, F.lit(n)).cast("int")), n
 
 

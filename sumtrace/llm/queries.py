@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumtrace.llm import bpe, decontaminate, dialogue, digest, fertility, language, licenses, pages, ppm, simhash, substrings, toxicity
+from sumtrace.llm import bpe, decontaminate, dialogue, digest, fertility, language, licenses, pages, phrases, ppm, simhash, substrings, toxicity
 from sumtrace.llm.common import fold
 from sumtrace.llm.oracle import SQL
 
@@ -77,6 +77,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decoded(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return dialogue.digested(dialogue.repaired(dialogue.damaged(_table(spark, folder, "conversations"))))
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_pages": op9_pages,
         "op10_bpe": op10_bpe,
+        "op11_phrases": op11_phrases,
         "op12_conversations": op12_conversations,
         "op13_fingerprints": op13_fingerprints,
         "pipeline": pipeline,
