@@ -2,9 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before has kept; its result
 is written as Parquet and read again as the next one's documents. All but the last return the columns
-of ``docs``. The near-duplicate and test-item stages number the rows and judge each row by its number, as
-ids may be null or repeated: rows of one id are judged each by its own text. Rows without doc_id are
-near-duplicates of one another only, so a copy of a row with an id stays, once.
+of ``docs``. The near-duplicate and test-item stages name each row by a digest of all its columns and judge it
+by its own text, as ids may be null or repeated. Only names and fingerprints move: rows that a filter of fixed
+size over the names of rows to go lets through are compared with these names, the others stay where they are.
+Rows without doc_id are near-duplicates of one another only, so a copy of a row with an id stays, once. Columns
+of any name pass unchanged. Texts may be of any length, null or empty.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumtrace.llm import bpe, decontaminate, language, simhash, substrings
-from sumtrace.session import cut
+from sumtrace.llm import bitmap, bpe, decontaminate, language, simhash, substrings
+from sumtrace.session import cut, only_kept, uncut
 
-#: Column with the number of a row.
-ROW = "_row"
+#: Bits (a power of two) of the filter over rows to go: 8 MB. Beyond some ten million rows to go it lets ever more pass.
+FILTER_BITS = 26
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,24 +26,36 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.accepted(docs, language.trained(docs, F.lit(True)))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, written, so that it stays the same."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their digest in a column whose name no other has."""
+    key = "digest"
+    while key in docs.columns:
+        key += "_"
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return docs.withColumn(key, F.sha2(whole, 256)), key
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+def _less(named: DataFrame, key: str, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """The rows but those whose digest is in ``gone``; of equal rows whose digest is in ``once`` one stays."""
+    touched = gone if once is None else gone.unionByName(once)
+    filter_ = bitmap.build(touched.select(F.xxhash64(key).alias("hash")), FILTER_BITS)
+    maybe = bitmap.may_hold(named, filter_, F.xxhash64(key))
+    rest = named.where(maybe)
+    rest = rest if once is None else rest.dropDuplicates([key])
+    return named.where(~maybe).unionByName(rest.join(gone, key, "left_anti")).drop(key)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the row with the least id, and one of those without an id."""
-    rows = _numbered(docs)
-    groups = simhash.near_duplicates(_texts(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
-    content = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])  # a tie is broken the same way each time
-    ids = rows.select(ROW, F.struct(F.col("doc_id").alias("id"), content.alias("content"), F.col(ROW).alias("row")).alias("own"))
-    first = ids.join(groups, ROW).groupBy("group", F.col("own.id").isNull()).agg(F.min("own").alias("own"))
-    first = cut(first.select(F.col("own.row").alias(ROW)))
-    return rows.join(first, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named, key = _named(docs)
+    rows, classes = simhash.grouped(named, keep=(key,))
+    group = [F.col("root"), F.col("doc_id").isNull().alias("no_id")]
+    kinds = rows.join(classes.select("fp", "root"), "fp").groupBy(*group, "doc_id", key).agg(F.count("*").alias("n"))
+    first = kinds.groupBy("root", "no_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    judged = kinds.join(first, ["root", "no_id"]).select(key, (F.col(key) != F.col(f"first.{key}")).alias("gone"), "n")
+    touched = cut(judged.where("gone OR n > 1"))
+    uncut(rows, classes)
+    return _less(named, key, touched.where("gone").select(key), touched.where("NOT gone").select(key))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +66,8 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain an item of ``benchmark``."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = _numbered(docs)
-    found = cut(decontaminate.contained_items(_texts(rows), items).select(F.col("doc_id").alias(ROW)).distinct())
-    return rows.join(found, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named, key = _named(docs)
+    return _less(named, key, decontaminate.rows_with_items(named, items, key))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with only_kept(spark):
+            docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            uncut(before)
+        before = docs
     return docs

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,9 @@ RUNTIME = {
 }
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
@@ -70,6 +76,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _made.get() is not None:
+        _made.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,6 +105,18 @@ def uncut(*frames: DataFrame) -> None:
                 _delete(df.sparkSession, folder)
 
 
+@contextmanager
+def only_kept(spark: SparkSession) -> Iterator[None]:
+    """Delete what was cut within the block, but for the last: for blocks that end with cutting their result."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get()[:-1]:
+            _delete(spark, path)
+        _made.reset(token)
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete everything this application has cut; frames built on it stop working."""
     _delete(spark, _cut_folder(spark))
