@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _CHUNK = 15  # a group holds 2**15 bits
 
@@ -57,3 +58,14 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = second[some]
     out[some] = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return out
+
+
+def may_hold(df: DataFrame, bitmap: np.ndarray, hashes: Column) -> Column:
+    """Whether each BIGINT of a column may be in the filter; only this column goes to Python."""
+    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def of(cells: pa.Array) -> pa.Array:
+        return pa.array(holds(sent.value, cells.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return of(hashes)

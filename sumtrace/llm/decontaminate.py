@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sumtrace.llm import bitmap, words as W
 from sumtrace.llm.common import arrow_batches, id_and_text
-from sumtrace.session import cut
+from sumtrace.session import cut, uncut
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -121,11 +121,11 @@ def _agreeing(h: np.ndarray, hit: np.ndarray, size: int, k: int, filter_: np.nda
     return np.unique(np.concatenate(found))
 
 
-def scanned(docs: DataFrame, sizes: list[int], filter_: np.ndarray, shingle: int, hashes: int) -> DataFrame:
+def scanned(docs: DataFrame, sizes: list[int], filter_: np.ndarray, shingle: int, hashes: int, key: str | None = None) -> DataFrame:
     """(doc_id, row, hits, minima) of the documents that may contain an item.
 
     ``hits``: every shingle of the document that an item may have; ``minima``: those that may agree.
-    ``row`` names the row by its content, as ids can be null or repeated.
+    ``row`` names the row by its content, as ids can be null or repeated, or by the column ``key``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -145,7 +145,7 @@ def scanned(docs: DataFrame, sizes: list[int], filter_: np.ndarray, shingle: int
                         _, first = np.unique(h[lo:hi][own], return_index=True)
                         grams = [_words_of(data, a[lo + i], b[lo + i]) for i in own[first]]
                         doc = ids[int(t)].as_py()
-                        row = xxhash.xxh128_hexdigest(f"{doc} ".encode() + data[offsets[t] : offsets[t + 1]].tobytes())
+                        row = xxhash.xxh128_hexdigest(f"{doc} ".encode() + data[offsets[t] : offsets[t + 1]].tobytes()) if key is None else piece.column(2)[int(t)].as_py()
                         rows.append((doc, row, grams, np.unique(minima).view(np.int64).tolist()))
                 if rows:
                     types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
@@ -153,24 +153,20 @@ def scanned(docs: DataFrame, sizes: list[int], filter_: np.ndarray, shingle: int
                         [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "row", "hits", "minima"]
                     )
 
-    return id_and_text(docs).mapInArrow(of, "doc_id long, row string, hits array<string>, minima array<long>")
+    rows = id_and_text(docs) if key is None else docs.select(*id_and_text(docs).columns, key)
+    return rows.mapInArrow(of, "doc_id long, row string, hits array<string>, minima array<long>")
 
 
-def contained_items(
-    docs: DataFrame,
-    items: DataFrame,
-    threshold: float = THRESHOLD,
-    shingle: int = SHINGLE,
-    hashes: int = HASHES,
-    filter_bits: int = FILTER_BITS,
-) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, containment) of all links of at least ``threshold``."""
+def _found(
+    docs: DataFrame, items: DataFrame, threshold: float, shingle: int, hashes: int, filter_bits: int, key: str | None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, row, item_id, n_shingles, n_found, containment) of all links, and the written frames they are made of."""
     arrow_batches(docs.sparkSession)
     ready = cut(prepared(items, shingle, hashes))
     known = ready.select(F.explode(F.concat("hashes", "minima")).alias("hash"))
     filter_ = bitmap.build(known, filter_bits)
     sizes = sorted(r[0] for r in ready.select("size").distinct().collect())  # at most 32 classes
-    seen = cut(scanned(docs, sizes, filter_, shingle, hashes))
+    seen = cut(scanned(docs, sizes, filter_, shingle, hashes, key))
     candidates = (
         seen.select("row", F.explode("minima").alias("minimum"))
         .join(ready.select("item_id", F.explode("minima").alias("minimum")), "minimum")
@@ -184,10 +180,31 @@ def contained_items(
             candidates["item_id"].eqNullSafe(ready["item_id"]),
         )
         .select(
-            "doc_id", candidates["item_id"], "n_shingles", F.size(F.array_intersect("hits", "shingles")).cast("long").alias("n_found")
+            "doc_id", "row", candidates["item_id"], "n_shingles", F.size(F.array_intersect("hits", "shingles")).cast("long").alias("n_found")
         )
         .withColumn("containment", F.col("n_found") / F.col("n_shingles"))
         .where(F.col("containment") >= threshold)
     )
+    return found, [ready, seen]
+
+
+def contained_items(
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = THRESHOLD,
+    shingle: int = SHINGLE,
+    hashes: int = HASHES,
+    filter_bits: int = FILTER_BITS,
+) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, containment) of all links of at least ``threshold``."""
+    found, _ = _found(docs, items, threshold, shingle, hashes, filter_bits, None)
     best = F.max(F.struct("containment", "n_found", "n_shingles")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_shingles", "b.n_found", "b.containment")
+
+
+def rows_with_items(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(``key``): the values of this column in rows that contain an item, each once; written."""
+    found, spent = _found(docs, items, THRESHOLD, SHINGLE, HASHES, FILTER_BITS, key)
+    rows = cut(found.select(F.col("row").alias(key)).distinct())
+    uncut(*spent)
+    return rows

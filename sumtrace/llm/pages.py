@@ -254,7 +254,7 @@ def main_text(page: str | None, model: Model, memory: dict | None = None) -> str
     return "\n".join(b.text for b, label in zip(own, decode(emit, model)) if label)
 
 
-_SYLLABLES = "ka lo mi ren tu sa vel dor nim pas ter gul hen fi bro wex zan yu quo jin ard est ind ol ung eth".split()
+_SYLLABLES = [first + vowel + last for first in "bdfgklmnprt" for vowel in "aeiou" for last in ("", "n", "r")]
 
 
 def labelled_pages(n: int = PAGES, seed: int = 17) -> list[tuple[str, dict[str, int]]]:

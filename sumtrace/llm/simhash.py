@@ -19,7 +19,7 @@ least of them, so a crowd of n costs a multiple of n rows and never n squared.
 Edge cases: a null text counts as empty, its fingerprint is zero; a text of fewer than four
 words is one shingle; a row without doc_id gets a fingerprint and the component that its
 fingerprint belongs to (null if no linked row has an id); rows that repeat a doc_id come out as
-often as they go in. An empty table gives an empty result; further columns are not read.
+often as they go in. An empty table gives an empty result; further columns are not read, unless asked to be kept.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sumtrace.llm.common import arrow_batches
 from sumtrace.llm.components import least_member
-from sumtrace.session import cut
+from sumtrace.session import cut, uncut
 
 SHINGLE = 4
 SEED = 42
@@ -65,20 +65,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as BIGINT."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and the columns ``keep``; fp is the fingerprint as BIGINT."""
 
     def of(batches):
         for batch in batches:
             values = [fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *keep]
             )
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        of, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("fp"), *keep).schema
+    return rows.mapInArrow(of, schema)
 
 
 def radii(distance: int, parts: int) -> list[int]:
@@ -122,19 +122,26 @@ def _table(fps: DataFrame, widths: tuple[int, ...], distance: int) -> tuple[Data
     return table, probes.select("e.seg", "e.key", "probe")
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, widths: tuple[int, ...] = WIDTHS, crowd: int = CROWD) -> DataFrame:
+def links(
+    fps: DataFrame, distance: int = DISTANCE, widths: tuple[int, ...] = WIDTHS, crowd: int = CROWD, spent: list[DataFrame] | None = None
+) -> DataFrame:
     """(a, b), a < b: enough pairs of the distinct values ``fps.fp`` within ``distance`` bits to
     connect all that are. All such pairs, but where more than ``crowd`` values meet in one table
     entry: there each is only linked to the least value around a common half-way point.
+
+    What is written on the way is added to ``spent``, to be deleted once the links are used up.
     """
     if sum(widths) != 64:
         raise ValueError("segments must add up to 64 bits")
     table, probes = _table(fps, widths, distance)
     sizes = table.groupBy("seg", "key").count()
+    spent = [] if spent is None else spent
     crowded = cut(sizes.where(F.col("count") > crowd).select("seg", "key"))
+    spent.append(crowded)
     if not crowded.isEmpty():
         meeting = probes.join(crowded, ["seg", "key"], "left_semi").select(F.col("probe").alias("fp")).distinct()
-        extra = _half_way(cut(meeting), distance)
+        spent.append(cut(meeting))
+        extra = _half_way(spent[-1], distance)
         table = table.join(crowded, ["seg", "key"], "left_anti")
     else:
         extra = None
@@ -160,28 +167,42 @@ def _half_way(fps: DataFrame, distance: int) -> DataFrame:
     return linked.distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, distance: int = DISTANCE, widths: tuple[int, ...] = WIDTHS, crowd: int = CROWD
-) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row per row of ``docs``.
+def grouped(
+    docs: DataFrame, distance: int = DISTANCE, widths: tuple[int, ...] = WIDTHS, crowd: int = CROWD, keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, columns ``keep``) of every row, and (fp, root, component_id, n_links) of every fingerprint; both written.
 
-    ``component_id`` is the least doc_id reachable over links, ``n_links`` the number of other
-    fingerprints found within the distance (a lower bound where entries are crowded).
+    ``root`` is the least fingerprint reachable over links, ``component_id`` the least doc_id, ``n_links`` the
+    number of other fingerprints found within the distance (a lower bound where entries are crowded).
     """
-    printed = cut(fingerprints(docs))
+    printed = cut(fingerprints(docs, keep=keep))
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    pairs = cut(links(distinct.select("fp"), distance, widths, crowd))
+    spent: list[DataFrame] = []
+    pairs = cut(links(distinct.select("fp"), distance, widths, crowd, spent))
+    uncut(*spent)
     member = least_member(pairs)
     degree = (
         pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     )
     linked = cut(distinct.join(member, "fp").join(degree, "fp"))
     component = linked.groupBy("root").agg(F.min("first_doc").alias("of_links"))
-    linked = linked.join(component, "root").select("fp", "of_links", "n_links")
-    classes = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("of_links", "first_doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    named = linked.join(component, "root").select("fp", "root", "of_links", "n_links")
+    classes = distinct.join(named, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.coalesce("of_links", "first_doc").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    classes = cut(classes)  # so that the join below is free to split a fingerprint of very many copies
+    classes = cut(classes)  # so that joins with it are free to split a fingerprint of very many copies
+    uncut(pairs, linked)
+    return printed, classes
+
+
+def near_duplicates(
+    docs: DataFrame, distance: int = DISTANCE, widths: tuple[int, ...] = WIDTHS, crowd: int = CROWD
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id, n_links): one row per row of ``docs``; see :func:`grouped`."""
+    printed, classes = grouped(docs, distance, widths, crowd)
     return printed.join(classes, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

@@ -1,12 +1,15 @@
 """Each stage of the pipeline against brute force on what the stage before has kept."""
 
 import hashlib
+import os
+from urllib.parse import urlparse
 
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from sumtrace.llm import bpe
+from sumtrace.session import _cut_folder
 from tests.conftest import SMALL
 from tests.llm import test_decontaminate, test_simhash, test_substrings
 
@@ -68,7 +71,33 @@ def test_ids(kept):
 
 
 def test_run_equals_the_stages(spark, kept):
-    assert sorted(P.run(spark, SMALL).collect()) == sorted(kept[5])
+    out = P.run(spark, SMALL)
+    assert sorted(out.collect()) == sorted(kept[5])
+
+
+def test_only_the_last_stage_is_left(spark):
+    folder = urlparse(_cut_folder(spark)).path
+    before = set(os.listdir(folder))
+    out = P.run(spark, SMALL)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop() in out.inputFiles()[0]
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    odd = docs.selectExpr("*", "77 AS _row", "'d' AS digest", "doc_id AS `digest_`", "1.5 AS root", "'x' AS `a.b`", "true AS gone")
+    for stage in (P.one_of_each, P.without_test_items):
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and set(out.collect()) <= set(odd.collect()) and out.count() > 40
+
+
+def test_equal_rows_of_one_group(spark, tmp_path):
+    """A third of all rows equal, as many more equal but for their ids."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id + 10 END AS doc_id", f"CASE WHEN id % 3 < 2 THEN '{text}' ELSE concat('own', repeat(concat(' ', id), 30)) END AS text", "'en' AS lang", "'x' AS source", "1L AS n_chars")
+    kept = sorted(r["doc_id"] for r in P.one_of_each(spark, docs.repartition(5), str(tmp_path)).collect())
+    assert kept == [7] + [i + 10 for i in range(900) if i % 3 == 2]
 
 
 def test_odd_documents_pass_every_stage(spark, odd_docs, no_docs, tmp_path):
