@@ -72,15 +72,15 @@ def _exchange(queries, scope: str) -> str:
     pair AS (SELECT scope, var, string_agg(concat_ws('~', fn, "row", shape, form), ';'
             ORDER BY fn, "row", shape, form) AS psig FROM occ GROUP BY 1, 2),
     pair_class AS (SELECT scope, psig, COUNT(*) AS c FROM pair GROUP BY 1, 2),
-    verdict AS (SELECT s.scope, s.var,
-            EXISTS (SELECT 1 FROM members m JOIN safe_rows r USING (scope, "row")
-                    WHERE m.scope = s.scope AND m.var = s.var AND NOT m.shared) AS by_row,
-            EXISTS (SELECT 1 FROM safe_grp g WHERE g.scope = s.scope AND g.var = s.var)
-            OR EXISTS (SELECT 1 FROM members m JOIN grp_rows r USING (scope, "row")
-                    WHERE m.scope = s.scope AND m.var = s.var AND NOT m.shared) AS by_group,
-            EXISTS (SELECT 1 FROM pair p JOIN pair_class c USING (scope, psig)
-                    WHERE p.scope = s.scope AND p.var = s.var AND c.c > 1) AS by_operand
-        FROM spread s)"""
+    lone AS (SELECT scope, var, "row" FROM members WHERE NOT shared),
+    rowwise AS (SELECT DISTINCT scope, var, true AS by_row FROM lone JOIN safe_rows USING (scope, "row")),
+    grouped AS (SELECT scope, var, true AS by_group FROM (SELECT scope, var FROM safe_grp
+            UNION SELECT scope, var FROM lone JOIN grp_rows USING (scope, "row"))),
+    paired AS (SELECT scope, var, true AS by_operand FROM pair JOIN pair_class USING (scope, psig) WHERE c > 1),
+    verdict AS (SELECT scope, var, coalesce(by_row, false) AS by_row, coalesce(by_group, false) AS by_group,
+            coalesce(by_operand, false) AS by_operand
+        FROM spread LEFT JOIN rowwise USING (scope, var) LEFT JOIN grouped USING (scope, var)
+            LEFT JOIN paired USING (scope, var))"""
 
 
 INTERCHANGE = _exchange(ALL, "fn") + """
@@ -162,6 +162,7 @@ AUDIT = {
         FROM sizes LEFT JOIN found USING (query)
         LEFT JOIN (SELECT split_part(fn, '.', 1) AS query, bool_or(leaks) AS integer_leaks FROM whole GROUP BY 1) USING (query)""",
     "audit_jacobian": JACOBIAN,
+    "audit_from_files": JACOBIAN,
     "audit_singleton": SINGLETON,
     "audit_candidates": CANDIDATES,
     "audit_components": COMPONENTS,
