@@ -17,6 +17,7 @@ from sumtrace.operators.terms import (
     terms,
     value,
 )
+from sumtrace.session import cut
 
 TOLERANCE = 1e-4
 
@@ -140,9 +141,10 @@ def coverage(terms: DataFrame) -> DataFrame:
 def released_formulas(tables, names, profile: str = "standard", size: int = 1000) -> DataFrame:
     """(fn, piece, pieces, formula, value): each released value beside the pieces of its formula.
 
-    A formula is the sum of its pieces, however many there are; the value stands beside each.
+    A formula is the sum of its pieces, however many there are; the value stands beside each. Terms are
+    written once and read twice, for the number of pieces and for their texts.
     """
-    texts = render(terms(tables, names, profile), size)
+    texts = render(cut(terms(tables, names, profile)), size)
     return texts.join(released_values(tables, names, profile).select("fn", "value"), "fn").select(
         "fn", "piece", "pieces", "formula", "value"
     )

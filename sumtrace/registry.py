@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sumtrace.operators import interchange, jacobian, provenance, reconstruct, refresh
+from sumtrace.operators import formulas, interchange, jacobian, provenance, reconstruct, refresh
 from sumtrace.operators.components import function_components
 from sumtrace.operators.determined import determined, determined_after
 from sumtrace.operators.integrity import integrity_report
@@ -41,7 +41,7 @@ def _provenance() -> dict[str, Build]:
         for n in ALL
     }
     return listed | {
-        "prov_render": lambda t: provenance.render(terms(t, ALL, PROFILE)),
+        "prov_render": lambda t: provenance.render(cut(terms(t, ALL, PROFILE))),
         "prov_eval": lambda t: provenance.evaluation_report(t, ALL, PROFILE),
         "prov_vars": lambda t: provenance.variables_used(terms(t, ALL, PROFILE)),
         "prov_coverage": lambda t: provenance.coverage(terms(t, ALL, PROFILE)),
@@ -52,6 +52,13 @@ def _jac(t: Tables, names: list[str]) -> DataFrame:
     return jacobian.jacobian(terms(t, names, PROFILE))
 
 
+def _from_files(t: Tables) -> DataFrame:
+    """The Jacobian of all releases from nothing but their written formulas and the variable table."""
+    terms = cut(formulas.parsed(_released_formulas(t)))
+    whole = jacobian.jacobian(formulas.bound(terms, shape.variables(t)))
+    return whole
+
+
 def _incremental(t: Tables) -> DataFrame:
     """All releases first, then the rings of neighbouring lines on top."""
     stored = cut(_jac(t, ALL))
@@ -74,6 +81,7 @@ def _reconstruct(t: Tables) -> DataFrame:
 def _audit() -> dict[str, Build]:
     return {
         "audit_jacobian": lambda t: _jac(t, ALL),
+        "audit_from_files": _from_files,
         "audit_singleton": lambda t: jacobian.singletons(_jac(t, ALL)),
         "audit_components": lambda t: function_components(cut(_jac(t, ALL))),
         "audit_candidates": lambda t: jacobian.candidates(_jac(t, ALL)),
