@@ -5,7 +5,7 @@ import pytest
 
 from sumtrace.operators import interchange, reconstruct
 from sumtrace.operators.components import connected_components
-from sumtrace.operators.determined import determined, determined_after, shrunk
+from sumtrace.operators.determined import determined, determined_after, exact_lengths, scaled, shrunk
 from sumtrace.operators.jacobian import candidates, jacobian
 from sumtrace.operators.provenance import render
 from sumtrace.operators.scaling import measure_descent, random_equations, random_terms
@@ -78,6 +78,41 @@ def test_near_the_threshold(spark, dense_cells, wide, share):
     assert found == ({"a"} if share < EPS else set())
 
 
+@pytest.mark.parametrize("dense_cells", [4_000_000, 0])
+def test_many_copies_at_the_threshold(spark, dense_cells):
+    """f = a + share * b, g = b + c with null parts from 0.71e-4 to 1.27e-4: all copies get the exact verdict."""
+    rows, want = [], set()
+    for null in (0.71e-4, 0.85e-4, 0.95e-4, 0.99e-4, 1.01e-4, 1.06e-4, 1.27e-4):
+        for i in range(40 if null in (0.85e-4, 1.06e-4) else 5):
+            # columns have unit length: b's is about 1, so the null vector is (share, -1, 1)
+            share, name = null * 2**0.5, f"{null:.2e}.{i}"
+            rows += [(f"{name}.f", f"{name}.a", 1.0), (f"{name}.f", f"{name}.b", share), (f"{name}.g", f"{name}.b", 1.0), (f"{name}.g", f"{name}.c", 1.0)]
+            want |= {f"{name}.a"} if null < EPS else set()
+    found = {r["var"] for r in determined(spark.createDataFrame(rows, JAC), dense_cells=dense_cells).collect()}
+    assert found == want
+
+
+@pytest.mark.parametrize("dense_cells", [4_000_000, 0])
+@pytest.mark.parametrize("share, own, want", [(5e-5, 1, True), (5e-5, 2, True), (5e-5, 30, True), (1.2e-4, 1, True), (1.2e-4, 2, True), (1.2e-4, 3, False), (1.5e-4, 30, False)])
+def test_taking_functions_out_leaves_the_verdict(spark, dense_cells, share, own, want):
+    """f1 = a + share * b, f2 = b + c1 + c2 + ...: the null part is share * sqrt(n / (n + 1))."""
+    rows = [("f1", "a", 1.0), ("f1", "b", share), ("f2", "b", 1.0)] + [("f2", f"c{i}", 1.0) for i in range(own)]
+    assert (share * (own / (own + 1)) ** 0.5 < EPS) == want
+    found = {r["var"] for r in determined(spark.createDataFrame(rows, JAC), dense_cells=dense_cells).collect()}
+    assert found == ({"a"} if want else set())
+
+
+def test_exact_lengths(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(5, 9)) * (rng.random((5, 9)) < 0.6)
+    rows = [(f"f{i}", f"v{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    jac = scaled(spark.createDataFrame(rows, JAC))
+    got = {r["var"]: r["length"] for r in exact_lengths(jac, jac.select("var").distinct()).collect()}
+    m /= np.linalg.norm(m, axis=0)
+    null = np.eye(9) - np.linalg.pinv(m) @ m
+    assert all(abs(got[f"v{j}"] - np.linalg.norm(null[j])) < 1e-8 for j in range(9))
+
+
 def test_shrinking_keeps_what_can_be_determined(spark):
     """Two sums over many rows, one row of which is also in a third function."""
     rows = [(f, f"x{i}", d) for i in range(50) for f, d in (("f", 1.0), ("g", 1.0 + i % 7), ("h", 2.0))]
