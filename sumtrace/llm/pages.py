@@ -254,7 +254,7 @@ def main_text(page: str | None, model: Model, memory: dict | None = None) -> str
     return "\n".join(b.text for b, label in zip(own, decode(emit, model)) if label)
 
 
-_SYLLABLES = [first + vowel + last for first in "bdfgklmnprt" for vowel in "aeiou" for last in ("", "n", "r")]
+_SYLLABLES = [consonant + vowel for consonant in "dgklmn" for vowel in "aeiou"][:26]
 
 
 def labelled_pages(n: int = PAGES, seed: int = 17) -> list[tuple[str, dict[str, int]]]:
