@@ -9,20 +9,23 @@ one has seen (symbol exclusion), and at last among all symbols left alike. Symbo
 bytes and the end of the text, which also pads contexts at its beginning. For every context the
 probabilities add up to one.
 
-Counts are summed by Spark over all training texts. Shorter contexts' counts are sums over the
-longer ones'. What a task holds to score has a proven bound: of each order at most ``most``
-(context, byte) pairs stay in the trie, those with the highest counts (all that reach the least
-count at which they are few enough, which never rises towards shorter contexts).
+Counts are summed by Spark over all training texts, and all of them count: nothing is pruned, and
+scores mean the same for a table of any size. Shorter contexts' counts are sums over the longer ones'.
+Nobody holds the whole trie. It is parted by the last ``SUFFIX`` bytes of a context: a part has all
+longer contexts that end in them with all that these escape to, down to order ``SUFFIX``; the orders below,
+at most 257**SUFFIX pairs, go to every task. Blocks of documents ask the parts for the probability
+of each of their distinct runs once (:mod:`blocks`). Each part answers at most ``SHARE`` blocks in one
+task; there are as many copies of it as that takes.
 
 With ``adaptive_length`` the code length is adaptive instead: every text is scored with the counts
 of the part before, starting from nothing.
 
 The base score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over the lowered words and an end; c, N and V come
-from all training texts, and blocks of documents ask for the counts of their words (:mod:`blocks`).
+from all training texts, and blocks ask for the counts of their words in the same step.
 
 Edge cases: a null text counts as empty: one end, nothing else. Without training texts every symbol
 is equally likely and N is 0. Rows with null or repeated ids are scored like others. An empty table gives
-an empty result.
+an empty result. A very long text is one row of a block and is worked through in pieces.
 """
 
 from __future__ import annotations
@@ -32,16 +35,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrace.llm import blocks as B
 from sumtrace.llm import words as W
 from sumtrace.llm.common import arrow_batches
-from sumtrace.session import cut, uncut
+from sumtrace.session import cut
 
 ORDER = 4
-MOST = 400_000
+SUFFIX = 2
+PARTS = 512  # of the trie, at most
+SPLIT = 8  # tasks that sum the counts of one part
+SHARE = 4096  # blocks that one copy of a part answers
 END = 256
 SYMBOLS = 257
 _BITS = 9
@@ -192,19 +199,39 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray]:
     return words, W.hashed(words)
 
 
+RUNS, WORDS = 0, 1
 _PACKED = "kind int, bucket int, keys binary, counts binary"
 
 
-def _by_bucket(kind: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[tuple]:
-    bucket = (W.mixed(keys) % np.uint64(n_buckets)).astype(np.int64)
+def _ending(codes: np.ndarray, order: int) -> np.ndarray:
+    """Codes with the last ``order`` symbols of the context only."""
+    return codes & np.uint64((1 << _BITS * (order + 1)) - 1)
+
+
+def _part(codes: np.ndarray, n_parts: int) -> np.ndarray:
+    """Part of the trie that knows each run: the same for all contexts that end alike."""
+    return (W.mixed(_ending(codes, SUFFIX) >> np.uint64(_BITS)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _of_word(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (W.mixed(keys) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _by_bucket(kind: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> list[tuple]:
     order = np.argsort(bucket, kind="stable")
     ids, at = np.unique(bucket[order], return_index=True)
     parts = zip(np.split(keys[order], at[1:]), np.split(counts[order], at[1:]))
     return [(kind, int(i), k.tobytes(), n.tobytes()) for i, (k, n) in zip(ids, parts)]
 
 
-def counted(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
-    """Counts over all texts of ``docs``, packed by bucket: kind 0, symbol runs; kind 1, words."""
+def counted(docs: DataFrame, order: int, n_buckets: int, n_parts: int = 1) -> DataFrame:
+    """Counts over all texts of ``docs``, packed by bucket: kind 0, symbol runs, ``SPLIT`` buckets
+    for each part of the trie; kind 1, words."""
+
+    def bucket_of(kind: int, keys: np.ndarray) -> np.ndarray:
+        if kind == WORDS:
+            return _of_word(keys, n_buckets)
+        return _part(keys, n_parts) * SPLIT + (W.mixed(keys) % np.uint64(SPLIT)).astype(np.int64)
 
     def scan(batches):
         held: list[list] = [[], []]
@@ -215,7 +242,7 @@ def counted(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
             for kind, own in enumerate(held):
                 if own:
                     k, n = _summed([x[0] for x in own], [x[1] for x in own])
-                    rows += _by_bucket(kind, k, n, n_buckets)
+                    rows += _by_bucket(kind, k, n, bucket_of(kind, k))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                 names=["kind", "bucket", "keys", "counts"],
@@ -253,35 +280,25 @@ def counted(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
     return rows.groupBy("kind", "bucket").applyInArrow(merged, _PACKED + ", distinct long, total long")
 
 
-def trained(counts: DataFrame, order: int = ORDER, most: int = MOST) -> Model:
-    """The model of the packed counts of kind 0."""
+def shortest(counts: DataFrame, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of the orders below ``SUFFIX``, from 0 up: at most 257**SUFFIX pairs each."""
+    top = min(order, SUFFIX - 1)
 
-    def unpacked(batches):
+    def shortened(batches):
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["code", "n"]
-                )
-
-    rows = counts.where("kind = 0").select("keys", "counts").mapInArrow(unpacked, "code long, n long")
-    frames = [cut(rows)]
-    for k in range(order - 1, -1, -1):
-        short = F.col("code").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1))
-        frames.append(cut(frames[-1].groupBy(short.alias("code")).agg(F.sum("n").alias("n"))))
-    out, least = [], 1
-    for frame in reversed(frames):  # from order 0 up
-        step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.expr("shiftleft(1L, cast(floor(log2(n)) as int))"))
-        sizes = {r[0]: r[1] for r in frame.groupBy(step.alias("step")).count().collect()}  # about 1100 at most
-        kept = 0
-        for n in sorted(sizes, reverse=True):
-            if kept + sizes[n] > most and kept:
-                break
-            kept, smallest = kept + sizes[n], n
-        least = max(least, smallest) if sizes else least
-        table = frame.where(F.col("n") >= least).toArrow()
-        out.append((table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()))
-    uncut(*frames)
-    return model_of(out)
+                codes, n = _summed([_ending(np.frombuffer(k, np.uint64), top)], [np.frombuffer(n, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+    rows = counts.where(F.col("kind") == RUNS).select("keys", "counts").mapInArrow(shortened, "code long, n long")
+    table = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    codes, n = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    return [_summed([_ending(codes, k)], [n]) for k in range(top + 1)]
+
+
+def part_model(short: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray, n: np.ndarray, order: int = ORDER) -> Model:
+    """The model of one part: the short orders, and the longer ones of its own runs."""
+    return model_of([*short, *(_summed([_ending(codes, k)], [n]) for k in range(len(short), order + 1))])
 
 
 def adaptive_length(text: str | None, order: int = ORDER) -> float:
@@ -310,9 +327,39 @@ def adaptive_length(text: str | None, order: int = ORDER) -> float:
     return bits
 
 
-def scored(
-    docs: DataFrame, learn: Column, order: int = ORDER, most: int = MOST, block_bytes: int = B.BLOCK_BYTES
-) -> DataFrame:
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return B.squeeze(np.diff(keys, prepend=np.uint64(0)).tobytes())
+
+
+def _expanded(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(B.expand(data), np.uint64), dtype=np.uint64)
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _packed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of packed rows, sorted by key."""
+    keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+    n = [np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()]
+    return _summed([np.zeros(0, np.uint64), *keys], [np.zeros(0, np.int64), *n])
+
+
+def _in_groups(arrays: list[np.ndarray], size: int):
+    """Neighbouring arrays, ``size`` values or a little more at a time."""
+    held: list[np.ndarray] = []
+    for x in arrays:
+        held.append(x)
+        if sum(map(len, held)) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def scored(docs: DataFrame, learn: Column, order: int = ORDER, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     The model learns from the rows where ``learn`` holds.
@@ -321,48 +368,71 @@ def scored(
     arrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt, n_blocks = B.dealt(rows, "text", block_bytes)
-    n_buckets = n_blocks
-    counts = cut(counted(docs.where(learn), order, n_buckets))
-    total, distinct = counts.where("kind = 1").agg(F.sum("total"), F.sum("distinct")).first()
+    n_buckets, n_parts, n_copies = n_blocks, min(n_blocks, PARTS), -(-n_blocks // SHARE)
+    counts = cut(counted(docs.where(learn), order, n_buckets, n_parts))
+    total, distinct = counts.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = total or 0, distinct or 0
-    sent = spark.sparkContext.broadcast(trained(counts, order, most))
+    sent = spark.sparkContext.broadcast(shortest(counts, order))
     scale = float(np.log10(total + SMOOTH * (distinct + 1)))
 
-    def distinct_words(table: pa.Table) -> np.ndarray:
-        found = [np.array([END_WORD])]
-        for batch in table.to_batches():
-            for _, data, offsets in W.pieces(batch):
-                found.append(np.unique(_words(data, offsets)[1]))
-        return np.unique(np.concatenate(found))
-
     def ask(table: pa.Table) -> pa.Table:
-        keys = distinct_words(table)
-        parts = _by_bucket(1, keys, keys, n_buckets)
+        words, codes, size = [np.array([END_WORD])], [], 0
+        for batch in table.to_batches():
+            for _, data, offsets in W.pieces(batch, size=_PIECE):
+                words.append(np.unique(_words(data, offsets)[1]))
+                codes.append(np.unique(runs(data, offsets, order)[0]))
+                size += len(words[-1]) + len(codes[-1])
+                if size > _GATHER:
+                    words, codes = [_distinct(words)], [_distinct(codes)]
+                    size = 0
         block = table.column(B.BLOCK)[0].as_py()
+        keys = _distinct(words)
+        asked = [(WORDS, b, 0, k) for _, b, k, _ in _by_bucket(WORDS, keys, keys, _of_word(keys, n_buckets))]
+        keys = _distinct(codes)
+        asked += [(RUNS, b, block % n_copies, k) for _, b, k, _ in _by_bucket(RUNS, keys, keys, _part(keys, n_parts))]
+        kinds, buckets, copies, blobs = zip(*asked)
         return pa.table(
-            [pa.array([block] * len(parts), pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())],
-            names=[B.BLOCK, "bucket", "keys"],
+            [
+                pa.array([block] * len(asked), pa.int32()),
+                pa.array(kinds, pa.int32()),
+                pa.array(buckets, pa.int32()),
+                pa.array(copies, pa.int32()),
+                pa.array([_squeezed(np.frombuffer(k, np.uint64)) for k in blobs], pa.binary()),
+            ],
+            names=[B.BLOCK, "kind", "bucket", "copy", "keys"],
         )
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if known.num_rows:
-            keys, n = np.frombuffer(known.column("keys")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64)
-        else:
-            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        replies = []
-        for blob in asked.column("keys").to_pylist():
-            own = np.frombuffer(blob, np.uint64)
-            at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-            replies.append((np.where(keys[at] == own, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)).tobytes())
-        return pa.table([asked.column(B.BLOCK), asked.column("keys"), pa.array(replies, pa.binary())], names=[B.BLOCK, "keys", "counts"])
+        questions = [_expanded(x) for x in asked.column("keys").to_pylist()]
+        replies: list[bytes] = []
+        if questions:
+            keys, n = _packed(known)
+            words = asked.column("kind")[0].as_py() == WORDS
+            model = None if words else part_model(sent.value, keys, n, order)
+            for some in _in_groups(questions, _PIECE):
+                own = np.concatenate(some)
+                if words:
+                    at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                    values = np.where(keys[at] == own, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)
+                else:
+                    values = log_probabilities(own, model).astype(np.float32)
+                replies += [B.squeeze(v.tobytes()) for v in np.split(values, np.cumsum([len(x) for x in some])[:-1])]
+        return pa.table(
+            [asked.column(B.BLOCK), asked.column("kind"), asked.column("keys"), pa.array(replies, pa.binary())],
+            names=[B.BLOCK, "kind", "keys", "reply"],
+        )
+
+    def replies_to(answers: pa.Table, kind: int, of: type) -> tuple[np.ndarray, np.ndarray]:
+        own = answers.filter(pc.equal(answers.column("kind"), kind))
+        keys = np.concatenate([_expanded(x) for x in own.column("keys").to_pylist()])
+        return keys, np.concatenate([np.frombuffer(B.expand(x), of) for x in own.column("reply").to_pylist()])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist()]
-        n = [np.frombuffer(x, np.int64) for x in answers.column("counts").to_pylist()]
-        order_ = np.argsort(np.concatenate(keys))
-        keys, n = np.concatenate(keys)[order_], np.concatenate(n)[order_]
+        keys, n = replies_to(answers, WORDS, np.int64)
+        by_key = np.argsort(keys)
+        keys, n = keys[by_key], n[by_key]
         end = n[np.searchsorted(keys, END_WORD)]
-        model = sent.value
+        likely = Table(*replies_to(answers, RUNS, np.float32))
         out: list[list[np.ndarray]] = [[], [], [], []]
         for batch in table.to_batches():
             for piece, data, offsets in W.pieces(batch, size=_PIECE):
@@ -376,7 +446,7 @@ def scored(
                     base[full] += np.add.reduceat(logs, words.first[:-1][full])
                     n_known[full] += np.add.reduceat(known, words.first[:-1][full])
                 codes, begin = runs(data, offsets, order)
-                score = np.add.reduceat(log_probabilities(codes, model), begin[:-1])
+                score = np.add.reduceat(likely.values[0][likely.find(codes)].astype(np.float64), begin[:-1])
                 n_tokens = words.count + 1
                 for own, value in zip(out, (n_tokens, n_known, base - n_tokens * scale, score)):
                     own.append(value)
@@ -386,9 +456,19 @@ def scored(
             names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    questions = dealt.groupBy(B.BLOCK).applyInArrow(ask, f"{B.BLOCK} int, bucket int, keys binary")
-    words = counts.where("kind = 1").select("bucket", "keys", "counts")
-    answers = questions.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(reply, f"{B.BLOCK} int, keys binary, counts binary")
+    questions = dealt.groupBy(B.BLOCK).applyInArrow(ask, f"{B.BLOCK} int, kind int, bucket int, copy int, keys binary")
+    whole_words = counts.where(F.col("kind") == WORDS).select("kind", "bucket", F.lit(0).alias("copy"), "keys", "counts")
+    parts = counts.where(F.col("kind") == RUNS).select(
+        "kind",
+        F.expr(f"bucket div {SPLIT}").cast("int").alias("bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))).alias("copy"),
+        "keys",
+        "counts",
+    )
+    place = ["kind", "bucket", "copy"]
+    answers = questions.groupBy(*place).cogroup(whole_words.unionByName(parts).groupBy(*place)).applyInArrow(
+        reply, f"{B.BLOCK} int, kind int, keys binary, reply binary"
+    )
     return dealt.groupBy(B.BLOCK).cogroup(answers.groupBy(B.BLOCK)).applyInArrow(
         finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

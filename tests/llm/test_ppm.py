@@ -119,12 +119,57 @@ def test_scores(spark, odd_docs):
         assert w[5] is None or abs(g[5] - w[5]) < 1e-4 * abs(w[5]) + 1e-4
 
 
-def test_bounded_model_still_adds_up(spark):
+def unpacked(counts, kind):
+    rows = counts.where(F.col("kind") == kind).collect()
+    return {r["bucket"]: (np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows}
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 4])
+def test_parts_know_what_the_whole_model_knows(spark, order):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    m = ppm.trained(ppm.counted(docs, 3, 2), 3, most=15)
-    assert all((level.pairs.keys != ppm._FREE).sum() <= 15 or i == 0 for i, level in enumerate(m.levels))
-    codes = np.array([97 << 18 | 98 << 9 | s for s in range(ppm.SYMBOLS)], np.uint64)
-    assert abs((10 ** ppm.log_probabilities(codes, m)).sum() - 1) < 1e-4
+    counts, whole = ppm.counted(docs, order, 2, 3), model(TEXTS, order)
+    short, packed = ppm.shortest(counts, order), unpacked(counts, ppm.RUNS)
+    assert all(len(c) <= ppm.SYMBOLS ** (k + 1) for k, (c, _) in enumerate(short)) and len(short) == min(order + 1, ppm.SUFFIX)
+    asked = np.unique(np.concatenate([arrays(TEXTS + ["never seen: zq\u4e2d", "abra"], order)[0]]))
+    for part in range(3):
+        own = [v for k, v in packed.items() if k // ppm.SPLIT == part]
+        codes, n = ppm._summed([np.zeros(0, np.uint64), *(k for k, _ in own)], [np.zeros(0, np.int64), *(n for _, n in own)])
+        mine = asked[ppm._part(asked, 3) == part]
+        m = ppm.part_model(short, codes, n, order)
+        assert np.array_equal(ppm.log_probabilities(mine, m), ppm.log_probabilities(mine, whole))
+
+
+def test_every_count_of_a_large_trie_counts(spark, monkeypatch):
+    """More than 400 000 pairs of orders 3 and 4 each: scores equal those of one model of everything."""
+    monkeypatch.setattr(ppm, "SHARE", 2)
+    letters = np.array([chr(c) for c in [*range(0x41, 0x7B), *range(0x400, 0x460), *range(0x4E00, 0x5600)]])
+    r = np.random.Generator(np.random.PCG64(7))
+    texts = ["".join(r.choice(letters, 9000)) for _ in range(48)] + ["".join(r.choice(letters[:60], 300_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    counts = ppm.counted(docs, 4, 6, 6).cache()
+    sizes = [len(np.unique(np.concatenate([ppm._ending(k, o) for k, _ in unpacked(counts, ppm.RUNS).values()]))) for o in range(5)]
+    counts.unpersist()
+    assert min(sizes[3:]) > 400_000
+    got = {x["doc_id"]: x["score"] for x in ppm.scored(docs, F.lit(True), block_bytes=200_000).collect()}
+    whole = model(texts, 4)
+    for i, text in enumerate(texts):
+        want = ppm.log_probabilities(arrays([text], 4)[0], whole).sum()
+        assert abs(got[i] - want) < 1e-5 * abs(want)
+
+
+def test_the_whole_corpus_decides_what_a_text_costs(spark):
+    """Rare runs keep their weight however many others there are."""
+    rare, r = "zyx wvu", random.Random(3)
+    few = [(1, rare)]
+    many = few + [(k, "".join(r.choices("abcdefgh ", k=400))) for k in range(2, 200)]
+    scores = []
+    for rows in (few, many):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        scores.append(next(x["score"] for x in ppm.scored(docs, F.lit(True)).collect() if x["doc_id"] == 1))
+    trie = trie_of([t for _, t in many], 4)
+    symbols = [ppm.END] * 4 + [*rare.encode(), ppm.END]
+    want = sum(math.log10(brute(symbols[k - 4 : k], symbols[k], trie)) for k in range(4, len(symbols)))
+    assert abs(scores[1] - want) < 1e-4 * abs(want) and scores[1] != scores[0]
 
 
 def test_without_training_rows(odd_docs, no_docs):
