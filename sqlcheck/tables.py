@@ -29,6 +29,37 @@ _CHOSEN = """chosen AS (SELECT o_orderkey AS k FROM (SELECT o_orderkey, row_numb
         FROM orders) WHERE r <= (SELECT ceil(COUNT(*) / 1000.0) FROM orders))"""
 _MAX = "(SELECT MAX(o_orderkey) + 1 FROM orders)"
 
+
+
+def _in_turn() -> str:
+    """Three streams applied one after the other: insert unless the key is taken, then delete."""
+    size = "(SELECT CAST(ceil(COUNT(*) / 1000.0) AS BIGINT) FROM orders)"
+    parts = ["ranked AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders)"]
+    parts += [f"c{n} AS (SELECT k FROM ranked WHERE r > {n - 1} * {size} AND r <= {n} * {size})" for n in (1, 2, 3)]
+    # per stream: (range, shift of keys, shift of customers) to insert, and the keys to delete
+    inserts = {1: [(1, _MAX, 0)], 2: [(2, _MAX, 0)], 3: [(1, _MAX, 1), (2, "0", 1)]}
+    deletes = {1: "SELECT k FROM c1", 2: f"SELECT k + {_MAX} FROM c1", 3: "SELECT k FROM c3"}
+    parts += ["o0 AS (SELECT o_orderkey, o_custkey FROM orders)", "l0 AS (SELECT * FROM lineitem)"]
+    for n in (1, 2, 3):
+        for c, shift, more in inserts[n]:
+            own = f"u{n}{c}"
+            parts += [
+                f"{own} AS (SELECT o_orderkey + {shift} AS o_orderkey, o_custkey + {more} AS o_custkey FROM orders"
+                f" WHERE o_orderkey IN (SELECT k FROM c{c}) AND o_orderkey + {shift} NOT IN (SELECT o_orderkey FROM o{n - 1}))",
+                f"v{n}{c} AS (SELECT * REPLACE (l_orderkey + {shift} AS l_orderkey) FROM lineitem"
+                f" WHERE l_orderkey IN (SELECT k FROM c{c}) AND l_orderkey + {shift} IN (SELECT o_orderkey FROM {own}))",
+            ]
+        new = [c for c, _, _ in inserts[n]]
+        parts += [
+            f"{t}{n} AS (SELECT * FROM ({' UNION ALL '.join([f'SELECT * FROM {t}{n - 1}', *(f'SELECT * FROM {u}{n}{c}' for c in new)])})"
+            f" WHERE {key} NOT IN ({deletes[n]}))"
+            for t, u, key in (("o", "u", "o_orderkey"), ("l", "v", "l_orderkey"))
+        ]
+    return ", ".join([*parts, "o AS (SELECT * FROM o3)", "l AS (SELECT * FROM l3)"])
+
+
+_STREAMS = _in_turn()
+
 _KEYS = {
     "region": ("region", "r_regionkey"),
     "nation": ("nation", "n_nationkey"),
@@ -102,6 +133,7 @@ TABLES = {
     "refresh_delete": f"""WITH {_CHOSEN}, o AS (SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT k FROM chosen)),
         l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM chosen))"""
     + _ORDER_LINES,
+    "refresh_streams": f"WITH {_STREAMS}" + _ORDER_LINES,
     "order_rollup": ctes("li") + """
         SELECT l_orderkey, CAST(SUM((e * (100 - d) // 100) * (100 + t) // 100) AS DOUBLE) / 100 AS o_totalprice,
             CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_or(l_linestatus = 'F') THEN 'P'

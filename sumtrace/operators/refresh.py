@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrace.functions.exact import exact_sum
+from sumtrace.sources.changes import Changes
 from sumtrace.sources.completion import country_code
 
 # A refresh is a thousandth of all orders; the day statuses refer to.
@@ -53,6 +54,37 @@ def delete_orders(
     )
 
 
+def apply_streams(orders: DataFrame, lines: DataFrame, changes: Changes) -> tuple[DataFrame, DataFrame]:
+    """Orders and lines after all streams in the order of their numbers, each insert before its delete.
+
+    The same as :func:`insert_orders` and :func:`delete_orders` once per stream, in one step for any
+    number of streams: only what comes after the last delete of a key counts, and of that the first
+    (later inserts find the key taken). What is there before the streams comes first of all, if
+    no stream deletes it. Lines go with the order of their own stream. Keys are settled among the changes
+    alone; the tables themselves are only filtered by them, so they are not shuffled as long as
+    the keys are few enough for Spark to send them.
+    """
+    gone = changes.deletes.groupBy("orderkey").agg(F.max("stream").alias("gone_in"))
+    old_orders = orders.join(gone, F.col("o_orderkey") == F.col("orderkey"), "left_anti")
+    old_lines = lines.join(gone, F.col("l_orderkey") == F.col("orderkey"), "left_anti")
+    offered = changes.orders.select(F.col("o_orderkey").alias("key"), "stream").distinct()
+    later = offered.join(gone, F.col("key") == F.col("orderkey"), "left").where(
+        F.col("gone_in").isNull() | (F.col("stream") > F.col("gone_in"))
+    )
+    first = later.groupBy("key").agg(F.min("stream").alias("since"))
+    taken = old_orders.join(first, F.col("o_orderkey") == F.col("key"), "left_semi").select(F.col("o_orderkey").alias("taken"))
+    won = first.join(taken, F.col("key") == F.col("taken"), "left_anti")
+
+    def of(rows: DataFrame, key: str, like: DataFrame) -> DataFrame:
+        own = rows.join(won, (F.col(key) == F.col("key")) & (F.col("stream") == F.col("since")), "left_semi")
+        return own.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+    return (
+        old_orders.unionByName(of(changes.orders, "o_orderkey", orders)),
+        old_lines.unionByName(of(changes.lines, "l_orderkey", lines)),
+    )
+
+
 def key_at(orders: DataFrame, rank: int) -> int | None:
     """The order key with ``rank`` smaller ones, or None if there are not so many.
 

@@ -19,6 +19,7 @@ from sumtrace.plans.catalog import QUERIES, answer
 from sumtrace.run import RESULTS, append_timings, run_queries
 from sumtrace.session import cut, scratch
 from sumtrace.sources import shape
+from sumtrace.sources.changes import read_changes, write_changes
 from sumtrace.sources.results import read_formulas, write_formulas, write_result
 from sumtrace.sources.tables import Tables, write_text
 
@@ -110,6 +111,34 @@ def _refreshed(t: Tables, change) -> DataFrame:
     return refresh.orders_with_lines(*change(orders, lines))
 
 
+def _streams(t: Tables) -> DataFrame:
+    """Three refresh streams, written to files, read and applied.
+
+    The second deletes what the first inserts, the third inserts it again for other customers, and
+    orders whose keys are taken.
+    """
+    orders, lines = t.raw("orders"), t.raw("lineitem")
+    folder = _scratch(t, "streams")
+    keys = [refresh.refresh_keys(orders, n) for n in (1, 2, 3)]
+    first, first_lines = refresh.refresh_rows(orders, lines, 1)
+    second, second_lines = refresh.refresh_rows(orders, lines, 2)
+    taken = orders.join(keys[1], F.col("o_orderkey") == F.col("orderkey"), "left_semi")
+    taken_lines = lines.join(keys[1], F.col("l_orderkey") == F.col("orderkey"), "left_semi")
+    again = first.unionByName(taken).withColumn("o_custkey", F.col("o_custkey") + 1)
+    new_keys = first.select(F.col("o_orderkey").alias("orderkey"))
+    write_changes(folder, 1, first, first_lines, keys[0])
+    write_changes(folder, 2, second, second_lines, new_keys)
+    write_changes(folder, 3, again, first_lines.unionByName(taken_lines), keys[2])
+    changes = read_changes(t.spark, folder, t.money_scale)
+    return _refreshed(t, lambda o, l: refresh.apply_streams(*_rolled(o, l), changes))
+
+
+def _rolled(orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The columns that :func:`refresh.orders_with_lines` shows."""
+    shown = ["l_quantity", "l_extendedprice", "l_discount"]
+    return orders.select("o_orderkey", "o_custkey"), lines.select(*LINE, *shown)
+
+
 def _scratch(t: Tables, name: str) -> str:
     """A new folder below the checkpoint folder, for what a query writes and reads again."""
     return f"{scratch(t.spark)}/{name}"
@@ -214,6 +243,7 @@ def _tables() -> dict[str, Build]:
         "refresh_delete": lambda t: _refreshed(
             t, lambda o, l: refresh.delete_orders(o, l, refresh.refresh_keys(o))
         ),
+        "refresh_streams": _streams,
         "order_rollup": lambda t: refresh.order_rollup(t.lineitem, t.unit(2)),
         "line_status": lambda t: refresh.line_status(t.lineitem, date(1998, 6, 17)).select(
             *LINE, "l_returnflag", "l_linestatus"

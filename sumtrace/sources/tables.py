@@ -26,8 +26,8 @@ MONEY = {
 WHOLE = {"lineitem": ["l_quantity"], "partsupp": ["ps_availqty"]}
 
 
-def read_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Read ``name.tbl`` and its numbered chunks; refresh files do not match.
+def read_text(spark: SparkSession, folder: str, name: str, files: str = "{,.[0-9]*}") -> DataFrame:
+    """Read ``name.tbl`` and its numbered chunks; refresh files do not match, unless ``files`` asks for them.
 
     Each line ends with a separator, hence the extra column. A malformed line
     fails the read.
@@ -41,13 +41,13 @@ def read_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
             ignoreLeadingWhiteSpace=True,
             ignoreTrailingWhiteSpace=True,
         )
-        .csv(f"{folder}/{name}.tbl{{,.[0-9]*}}")
+        .csv(f"{folder}/{name}.tbl{files}")
         .drop("_end")
     )
 
 
-def write_text(df: DataFrame, name: str, folder: str) -> None:
-    """Write ``name.tbl`` as :func:`read_text` takes it; columns that ``df`` lacks stay empty."""
+def write_text(df: DataFrame, name: str, folder: str, suffix: str = "") -> None:
+    """Write ``name.tbl`` (and ``suffix``) as :func:`read_text` takes it; columns that ``df`` lacks stay empty."""
     fields = [f.strip().split(" ") for f in SCHEMAS[name].split(",")]
     have = [
         F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
@@ -55,7 +55,7 @@ def write_text(df: DataFrame, name: str, folder: str) -> None:
     ]
     cells = [F.coalesce(c.cast("string"), F.lit("")) for c in have]
     line = F.concat(F.concat_ws("|", *cells), F.lit("|"))
-    df.select(line.alias("value")).write.mode("overwrite").text(f"{folder}/{name}.tbl")
+    df.select(line.alias("value")).write.mode("overwrite").text(f"{folder}/{name}.tbl{suffix}")
 
 
 def modified(spark: SparkSession, path: str) -> int | None:

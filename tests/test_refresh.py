@@ -1,8 +1,11 @@
+import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from sumtrace.operators import refresh
+from sumtrace.sources.changes import Changes, read_changes
 
 
 def test_orders_with_a_taken_key_stay_out_with_their_lines(spark):
@@ -67,3 +70,60 @@ def test_refresh_goes_by_rank_whatever_the_keys(spark):
     assert [refresh.key_at(orders, r) for r in (0, 1234, len(keys) - 1, len(keys))] == [keys[0], keys[1234], keys[-1], None]
     assert refresh.refresh_keys(orders, 900).isEmpty()
     assert refresh.refresh_keys(orders.limit(0)).isEmpty()
+
+
+def in_turn(orders, lines, streams):
+    """Streams of (orders, lines, keys) one after the other on plain lists."""
+    for new_orders, new_lines, keys in streams:
+        there = {k for k, _ in orders}
+        fresh = [o for o in new_orders if o[0] not in there]
+        orders = orders + fresh
+        lines = lines + [x for x in new_lines if x[0] in {k for k, _ in fresh}]
+        orders = [o for o in orders if o[0] not in keys]
+        lines = [x for x in lines if x[0] not in keys]
+    return sorted(orders), sorted(lines)
+
+
+def test_streams_equal_their_changes_in_turn(spark):
+    r = random.Random(5)
+    for _ in range(3):
+        orders = [(k, f"base{k}") for k in range(12)]
+        lines = [(r.randrange(14), n) for n in range(30)]
+        streams = []
+        for s in range(1, 5):
+            own = [(r.randrange(20), f"s{s}.{i}") for i in range(6)]
+            streams.append((own, [(r.randrange(20), 100 * s + n) for n in range(20)], {r.randrange(20) for _ in range(4)}))
+        new = [(k, x, s) for s, (own, _, _) in enumerate(streams, 1) for k, x in own]
+        new_lines = [(k, x, s) for s, (_, own, _) in enumerate(streams, 1) for k, x in own]
+        gone = [(k, s) for s, (_, _, own) in enumerate(streams, 1) for k in own]
+        changes = Changes(
+            spark.createDataFrame(new, "o_orderkey long, o_note string, stream int"),
+            spark.createDataFrame(new_lines, "l_orderkey long, l_linenumber int, stream int"),
+            spark.createDataFrame(gone, "orderkey long, stream int"),
+        )
+        o, l = refresh.apply_streams(
+            spark.createDataFrame(orders, "o_orderkey long, o_note string"), spark.createDataFrame(lines, "l_orderkey long, l_linenumber int"), changes
+        )
+        assert (sorted(map(tuple, o.collect())), sorted(map(tuple, l.collect()))) == in_turn(orders, lines, streams)
+
+
+def test_streams_from_files_in_pieces(spark, tmp_path):
+    order = "{}|7|O|12.50||1995-01-02|1-URGENT|c|0|note|\n".format
+    (tmp_path / "orders.tbl").write_text(order(1))
+    (tmp_path / "orders.tbl.u1").write_text(order(5))
+    (tmp_path / "orders.tbl.u12.3").write_text(order(6) + order(5))
+    (tmp_path / "delete.1").write_text("5\n\n1|\n")
+    (tmp_path / "delete.u2.1").write_text("6\n")
+    found = read_changes(spark, str(tmp_path))
+    assert sorted((r.o_orderkey, r.stream, r.o_totalprice) for r in found.orders.collect()) == [(5, 1, 1250), (5, 12, 1250), (6, 12, 1250)]
+    assert sorted(map(tuple, found.deletes.collect())) == [(1, 1), (5, 1), (6, 2)]
+    assert found.lines.isEmpty() and "l_orderkey" in found.lines.columns
+    (tmp_path / "delete.3").write_text("five\n")
+    with pytest.raises(Exception, match="not an order key"):
+        read_changes(spark, str(tmp_path)).deletes.collect()
+
+
+def test_no_streams_change_nothing(spark, tables, tmp_path):
+    orders, lines = tables.orders.select("o_orderkey", "o_custkey"), tables.lineitem.select("l_orderkey", "l_linenumber")
+    o, l = refresh.apply_streams(orders, lines, read_changes(spark, str(tmp_path)))
+    assert o.exceptAll(orders).isEmpty() and o.count() == orders.count() and l.count() == lines.count()
