@@ -79,6 +79,16 @@ def _reconstruct(t: Tables) -> DataFrame:
     return state.select("var", F.round("x", 6).alias("x"))
 
 
+def _solved(t: Tables) -> DataFrame:
+    """The revenues of q03, q05 and q10 with whether values were found that give them, all at once."""
+    names = ["q03", "q05", "q10"]
+    scaled = reconstruct.rescaled(terms(t, names, PROFILE), UNITS)
+    scaled = scaled.withColumn("coef", F.col("coef") / 1e8)
+    released = cut(provenance.released_values(t, names, PROFILE).select("fn", "value"))
+    found = reconstruct.solve(scaled, released.select("fn", (F.col("value") / 1e4).alias("target")))
+    return released.join(found.residuals, "fn", "left").select("fn", "value", (F.abs("f") < 1e-3).alias("solved"))
+
+
 def _audit() -> dict[str, Build]:
     return {
         "audit_jacobian": lambda t: _jac(t, ALL),
@@ -95,6 +105,7 @@ def _audit() -> dict[str, Build]:
         ).drop("scope"),
         "audit_join_groups": lambda t: interchange.join_groups(terms(t, ALL, PROFILE)),
         "audit_reconstruct": _reconstruct,
+        "audit_solved": _solved,
         "audit_sizes": lambda t: sizes(
             cut(jacobian.jacobian(terms(t, ALL, PROFILE), per_query=True))
         ),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumtrace.sources.schemas import SCHEMAS
-from sumtrace.sources.tables import in_hundredths, read_text, write_text
+from sumtrace.sources.tables import in_hundredths, matching, read_text, write_text
 
 UPDATES = ".u[0-9]*"
 DELETES = "delete.{[0-9]*,u[0-9]*}"
@@ -27,13 +27,6 @@ class Changes(NamedTuple):
     deletes: DataFrame  # (orderkey, stream)
 
 
-def there(spark: SparkSession, pattern: str) -> bool:
-    """Whether any path matches, on whatever file system it names."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(pattern)
-    return len(path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []) > 0
-
-
 def _stream(name: str) -> Column:
     """Number of the stream that a file or the folder it lies in is named after."""
     path = F.col("_metadata.file_path")
@@ -41,14 +34,14 @@ def _stream(name: str) -> Column:
 
 
 def _inserted(spark: SparkSession, folder: str, name: str, money_scale: int) -> DataFrame:
-    if not there(spark, f"{folder}/{name}.tbl{UPDATES}"):
+    if not matching(spark, f"{folder}/{name}.tbl{UPDATES}"):
         return in_hundredths(spark.createDataFrame([], f"{SCHEMAS[name]}, stream INT"), name, money_scale)
     rows = read_text(spark, folder, name, UPDATES)
     return in_hundredths(rows.select("*", _stream(rf"{name}\.tbl\.")), name, money_scale)
 
 
 def _deleted(spark: SparkSession, folder: str) -> DataFrame:
-    if not there(spark, f"{folder}/{DELETES}"):
+    if not matching(spark, f"{folder}/{DELETES}"):
         return spark.createDataFrame([], "orderkey BIGINT, stream INT")
     key = F.rtrim(F.trim("value"), F.lit("|"))
     wrong = F.raise_error(F.concat(F.lit("not an order key: "), F.col("value"))).cast("bigint")

@@ -66,6 +66,14 @@ def modified(spark: SparkSession, path: str) -> int | None:
     return files.getFileStatus(path).getModificationTime() if files.exists(path) else None
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, on whatever file system the pattern names."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
+
+
 _schemas: dict[tuple, StructType] = {}
 
 

@@ -253,6 +253,59 @@ def test_gradient_descent_equals_numpy(spark):
     assert np.allclose([got["x_1"], got["x_2"]], x)
 
 
+EQUATIONS = [
+    ("e1", "1", "s", 1, [("x_1", 0)]),
+    ("e1", "2", "s", 1, [("x_2", 0)]),
+    ("e2", "1", "s", 3, [("x_1", 0, 0, 1, 2)]),
+    ("e2", "2", "s", 1, [("x_2", 0, 0, 1, 2)]),
+    ("e3", "1", "s", 1, [("x_1", 0), ("x_2", 0)]),
+]
+
+
+def test_equations_are_solved_to_the_end(spark):
+    terms = term_rows(spark, EQUATIONS)
+    targets = spark.createDataFrame([("e1", 3.0), ("e2", 7.0), ("e3", 2.0)], "fn string, target double")
+    found = reconstruct.solve(terms, targets, tol=1e-12)
+    x = {r["var"]: r["x"] for r in found.state.collect()}
+    assert abs(x["x_1"] - 1) < 1e-5 and abs(x["x_2"] - 2) < 1e-5
+    losses = [loss for _, loss in found.history]
+    assert losses[-1] < 1e-12 and losses == sorted(losses, reverse=True) and len(losses) < 30
+    assert all(abs(r["f"]) < 1e-6 for r in found.residuals.collect())
+
+
+def test_what_cannot_be_solved_ends_at_the_least_loss(spark):
+    # x1 + x2 = 3, 3*x1^2 + x2^2 = 30, x1*x2 = 2 contradict one another
+    terms = term_rows(spark, EQUATIONS)
+    targets = spark.createDataFrame([("e1", 3.0), ("e2", 30.0), ("e3", 2.0)], "fn string, target double")
+    found = reconstruct.solve(terms, targets)
+    losses = [loss for _, loss in found.history]
+    assert losses[-1] > 1e-6 and losses == sorted(losses, reverse=True)
+    assert np.isclose(sum(r["f"] ** 2 for r in found.residuals.collect()), losses[-1])
+
+
+def test_a_broken_off_run_goes_on_from_its_last_round(spark, tmp_path):
+    terms = term_rows(spark, EQUATIONS)
+    targets = spark.createDataFrame([("e1", 3.0), ("e2", 7.0), ("e3", 2.0)], "fn string, target double")
+    folder = str(tmp_path / "rounds")
+    first = reconstruct.solve(terms, targets, tol=1e-1, folder=folder)
+    (tmp_path / "rounds" / "round=99").mkdir()  # begun, not finished
+    second = reconstruct.solve(terms, targets, tol=1e-10, folder=folder)
+    assert second.history[0] == first.history[-1] and second.history[-1][1] < 1e-10
+
+
+def test_the_shortest_step_equals_numpy(spark):
+    r = np.random.Generator(np.random.PCG64(4))
+    d = np.where(r.random((6, 15)) < 0.4, r.normal(size=(6, 15)), 0)
+    d[:, 0] = 1.0
+    f = r.normal(size=6)
+    jac = spark.createDataFrame([(f"f{i}", f"v{j}", float(d[i, j])) for i in range(6) for j in range(15) if d[i, j]], "fn string, var string, d double")
+    off = spark.createDataFrame([(f"f{i}", float(f[i])) for i in range(6)], "fn string, f double")
+    got = {x["var"]: x["w"] for x in reconstruct.shortest_step(jac, off).collect()}
+    w = np.array([got.get(f"v{j}", 0.0) for j in range(15)])
+    assert np.linalg.norm(d.T @ (d @ w + f)) <= 0.011 * np.linalg.norm(d.T @ f)
+    assert np.linalg.norm(w + np.linalg.pinv(d) @ f) < 0.1 * np.linalg.norm(w)
+
+
 def test_random_functions_derivatives(spark):
     terms = random_terms(spark, 40, 3)
     assert terms.count() == 120
