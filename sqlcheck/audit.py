@@ -143,7 +143,11 @@ def _peeled(jac: str, rounds: int = 3) -> str:
 
 
 # Nothing else is determined in the test tables: what is left after peeling is compared by the query.
-REAL = f"WITH {_jac(ALL)}, {_peeled('jac')} SELECT var FROM peeled"
+def _real(queries) -> str:
+    return f"WITH {_jac(queries)}, {_peeled('jac')} SELECT var FROM peeled"
+
+
+REAL = _real(ALL)
 
 RINGS = """WITH n AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1 AND COUNT(*) % 2 = 1)
     SELECT l_orderkey || '_' || unnest(range(1, n + 1)) AS var FROM n"""
@@ -153,6 +157,9 @@ AUDIT = {
     "audit_real": REAL,
     "audit_incremental": f"""SELECT var, false AS is_new FROM ({REAL})
         UNION ALL SELECT var, true FROM ({RINGS})""",
+    "audit_rowspace": f"""WITH one AS ({_real(ALL[:8])}), two AS ({REAL})
+        SELECT var, 1 AS step FROM one UNION ALL SELECT var, 2 FROM two WHERE var NOT IN (SELECT var FROM one)
+        UNION ALL SELECT var, 3 FROM ({RINGS})""",
     "audit_log": f"""WITH {_jac(ALL)},
         own AS (SELECT fn, split_part(fn, '.', 1) || ':' || var AS var, d FROM jac), {_peeled('own')},
         found AS (SELECT split_part(var, ':', 1) AS query, COUNT(*) AS determined FROM peeled GROUP BY 1),

@@ -14,6 +14,7 @@ from sumtrace.operators.components import function_components
 from sumtrace.operators.determined import determined, determined_after
 from sumtrace.operators.integrity import integrity_report
 from sumtrace.operators.report import audit_log, sizes
+from sumtrace.operators.rowspace import RowSpace
 from sumtrace.operators.terms import RELEASES, release_terms, terms
 from sumtrace.plans.catalog import QUERIES, answer
 from sumtrace.run import RESULTS, append_timings, run_queries
@@ -67,6 +68,14 @@ def _incremental(t: Tables) -> DataFrame:
     return determined_after(known, stored, _cycles(t))
 
 
+def _rowspace(t: Tables) -> DataFrame:
+    """Half of the releases, then the others, then the rings of lines: each step starts from the stored row space."""
+    space = RowSpace(t.spark, _scratch(t, "rowspace"))
+    for step in (_jac(t, ALL[:8]), _jac(t, ALL[8:]), _cycles(t)):
+        space.add(step)
+    return space.known().select("var", "step")
+
+
 def _reconstruct(t: Tables) -> DataFrame:
     """Three rounds of gradient descent on the revenues of q03 and q10, in 10 000."""
     names = ["q03", "q10"]
@@ -99,6 +108,7 @@ def _audit() -> dict[str, Build]:
         "audit_real": lambda t: determined(_jac(t, ALL)),
         "audit_rings": lambda t: determined(_cycles(t)),
         "audit_incremental": _incremental,
+        "audit_rowspace": _rowspace,
         "audit_interchange": lambda t: interchange.exchange_report(terms(t, ALL, PROFILE)),
         "audit_interchange_multi": lambda t: interchange.exchangeable(
             terms(t, ALL, PROFILE)

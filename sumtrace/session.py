@@ -91,6 +91,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file, on whatever file system the path names."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder of this application for files that are written and read again."""
     return f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
