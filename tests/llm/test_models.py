@@ -105,6 +105,48 @@ def test_responses_at_ends_of_texts():
                 assert np.allclose(got[i, f * 8 : f * 8 + 8], want, atol=1e-4)
 
 
+def test_every_labelled_row_teaches(spark):
+    """One sign of toxicity stands only in rows that a sample of 2 500 rows per label by their hash passes over."""
+    rows = [(i, " ".join(w for w in text.split() if w[:3] not in ("gru", "zon")), y) for i, (text, y, _) in enumerate(toy(8000, 3))]
+    drawn = F.pmod(F.xxhash64("doc_id", "toxic", F.lit(1)), F.lit(1 << 40)) / (1 << 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    docs = docs.withColumn("late", drawn > 0.9).cache()
+    sign = F.when(F.col("late"), "zonkerdu").otherwise("grumblak")
+    texts = docs.select("doc_id", F.when(F.col("toxic") == 1, F.concat_ws(" ", sign, "text")).otherwise(F.col("text")).alias("text"), F.lit("aa").alias("lang"))
+    m = toxicity.trained(texts, docs.select("doc_id", F.col("toxic")), F.lit(True))
+    fresh = [" ".join(w for w in text.split() if w[:3] not in ("gru", "zon")) for text, *_ in toy(200, 4)]
+    p, clean = toxicity.score(pa.array(["zonkerdu " + t for t in fresh]), m), toxicity.score(pa.array(fresh), m)
+    assert (p >= 0.3).mean() > 0.95 and (clean < 0.3).mean() > 0.95
+
+
+def test_parts_learn_together(spark):
+    """Each sign of toxicity is known to parts of the rows only; the common model knows them all, whatever the partitions."""
+    rows = [(i, text, lang, y) for i, (text, y, lang) in enumerate(toy(1200, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    scores = []
+    for n in (2, 5):
+        m = toxicity.trained(docs.repartition(n), docs.select("doc_id", "toxic"), F.lit(True), part_rows=250)
+        test = toy(200, 6)
+        scores.append(toxicity.score(pa.array([t for t, *_ in test]), m))
+        assert ((scores[-1] >= 0.3) == np.array([y for _, y, _ in test])).mean() > 0.95
+    assert np.allclose(*scores, atol=1e-4)
+
+
+def test_thresholds_by_ranges_of_logits(spark):
+    r = np.random.Generator(np.random.PCG64(2))
+    z = np.round(r.standard_normal(900) * 2, 1)  # with ties
+    y = (r.random(900) < 1 / (1 + np.exp(-z))).astype(int)
+    lang = r.choice(["aa", "bb", "cc", ""], 900, p=[0.5, 0.4, 0.02, 0.08])
+    rows = [(None if name == "" else str(name), int(a), float(b)) for name, a, b in zip(lang, y, z)]
+    judged = spark.createDataFrame(rows, "lang string, toxic int, z double")
+    p, one = toxicity._sigmoid(0.7 * z - 0.2), np.ones(900)
+    want = {None: toxicity._best_threshold(p, y, one)}
+    want |= {name: toxicity._best_threshold(p[lang == name], y[lang == name], one[lang == name]) for name in ("aa", "bb")}
+    for range_rows in (50, 1000):
+        got = toxicity._thresholds(judged, 900, 0.7, -0.2, range_rows)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (7, 1), (None, 1), (8, None), (99, 1), (9, 0)], "doc_id long, toxic int")
     m = toxicity.trained(odd_docs, labels, F.lit(True))
