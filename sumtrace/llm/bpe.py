@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from functools import cache
 
 import numpy as np
@@ -97,22 +98,26 @@ class _Block:
     text the places of its words among the distinct ones; None for texts with special tokens."""
 
     def __init__(self, table: pa.Table, path: str, n_buckets: int):
-        place: dict[str, int] = {}
+        import xxhash
+
+        place: defaultdict[str, int] = defaultdict()
+        place.default_factory = place.__len__
         self.whole: dict[int, str] = {}
         self.texts: list[np.ndarray] = []
-        specials, new = _specials(path), place.setdefault
+        specials = _specials(path)
         for i, cell in enumerate(table.column("text")):
             text = B.expand(cell.as_py()).decode()
             if any(s in text for s in specials):
                 self.whole[i] = text
                 self.texts.append(np.zeros(0, np.int32))
             else:
-                self.texts.append(np.array([new(w, len(place)) for w in split(text, path)], np.int32))
+                words = split(text, path)
+                self.texts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
         self.buckets: list[list[bytes]] = [[] for _ in range(n_buckets)]
         self.places: list[list[int]] = [[] for _ in range(n_buckets)]
         for word in sorted(place):
             data = word.encode()
-            i = _bucket(data, n_buckets)
+            i = xxhash.xxh3_64_intdigest(data) % n_buckets
             self.buckets[i].append(data)
             self.places[i].append(place[word])
         self.n_words = len(place)
@@ -149,7 +154,8 @@ def encoded(docs: DataFrame, path: str | None = None, block_bytes: int = B.BLOCK
             for word, e in zip(part, tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False)):
                 ids[word] = np.array(e.ids, kind).tobytes()
         found = [[ids[w] for w in own] for own in asked]
-        counts = [np.array([len(x) // kind().itemsize for x in own], np.uint32).tobytes() for own in found]
+        size = np.dtype(kind).itemsize
+        counts = [(np.fromiter(map(len, own), np.uint32, len(own)) // size).astype(np.uint32).tobytes() for own in found]
         return pa.table(
             [
                 table.column(B.BLOCK),
@@ -171,16 +177,17 @@ def encoded(docs: DataFrame, path: str | None = None, block_bytes: int = B.BLOCK
             flat.append(np.frombuffer(B.expand(ids), _id_type(path)).astype(np.int32))
             seen += len(flat[-1])
         known = np.concatenate(flat)
-        values = []
-        for i, words in enumerate(own.texts):
-            if i in own.whole:
-                values.append(np.array(tokenizer(path).encode(own.whole[i], add_special_tokens=False).ids, np.int32))
-            else:
-                n = count[words]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                values.append(known[np.repeat(begin[words], n) + step])
-        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        joined = np.concatenate([np.zeros(0, np.int32), *values])
+        words = np.concatenate([np.zeros(0, np.int32), *own.texts])
+        n = count[words]
+        end = np.concatenate([[0], np.cumsum(n)])
+        joined = known[np.arange(end[-1]) + np.repeat(begin[words] - end[:-1], n)]
+        offsets = end[np.cumsum([0] + [len(x) for x in own.texts])]
+        if own.whole:
+            values = np.split(joined, offsets[1:-1])
+            for i, text in own.whole.items():
+                values[i] = np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.int32)
+            joined, offsets = np.concatenate(values), np.cumsum([0] + [len(v) for v in values])
+        offsets = offsets.astype(np.int32)
         return pa.table([table.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined))], names=["doc_id", "ids"])
 
     return B.answered(
@@ -198,12 +205,6 @@ def _id_type(path: str) -> type:
     return np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32
 
 
-def _bucket(word: bytes, n: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word) % n
-
-
 def _words(lengths: bytes, words: bytes) -> list[bytes]:
     end = np.cumsum(np.frombuffer(lengths, np.uint32).astype(np.int64)).tolist()
     return [words[a:b] for a, b in zip([0, *end], end)]
@@ -218,15 +219,29 @@ def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
     schema = ordered.drop("__ids").schema.add("decoded", "string")
 
     def of(batches):
-        table = pieces(path)
+        table = pa.array([*pieces(path), b""], pa.large_binary())
         for batch in batches:
-            texts = []
-            for own in batch.column(len(others)):
-                known = [] if own.values is None else own.values.drop_null().to_numpy().tolist()
-                data = b"".join([table[i] for i in known if 0 <= i < len(table)])
-                texts.append(data.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(others)], pa.array(texts, pa.string())], names=[*others, "decoded"]
-            )
+            texts = _joined(batch.column(len(others)), table)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], texts], names=[*others, "decoded"])
 
     return ordered.mapInArrow(of, schema)
+
+
+def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """Texts of lists of ids, by a table of the bytes of each id; its last entry, which is empty, serves all others."""
+    ids = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+    ids = np.where((ids < 0) | (ids >= len(table) - 1), len(table) - 1, ids)
+    ends = np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy()]))
+    _, places, data = table.take(pa.array(ids)).buffers()
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = np.frombuffer(places, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    data = data[: at[-1]]
+    offsets = at[ends]
+    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    if not (data[starts] & 0xC0 == 0x80).any():  # no text begins within a character of the one before
+        try:
+            str(data, "utf-8")
+            return pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        except UnicodeDecodeError:
+            pass
+    return pa.array([str(data[a:b], "utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])], pa.string())

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,3 +50,16 @@ def test_decoding_odd_ids(spark, library):
     assert got[1] == got[2] == "" and got[3] == library.decode([64, 275]) and got[4] == "a"
     for i, ids in rows[4:]:
         assert got[i] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_decoding_from_buffers(library):
+    """Texts are joined from buffers; broken characters stay within their text, others decode as in the library."""
+    table = pa.array([*bpe.pieces(bpe.default_vocabulary()), b""], pa.large_binary())
+    texts = ["plain words", "", "Grüße, žluť 漢字 🙂", None, "é"]
+    ids = [None if t is None else library.encode(t, add_special_tokens=False).ids for t in texts]
+    ids += [library.encode("🙂", add_special_tokens=False).ids[:1], library.encode("🙂", add_special_tokens=False).ids[1:], [None, 10**6, -4]]
+    for some in (ids, ids[:5], ids[1:2], []):
+        lists = pa.array(some, pa.list_(pa.int32()))
+        want = ["" if x is None else library.decode([i for i in x if i is not None and 0 <= i < 10**6], skip_special_tokens=False) for x in some]
+        assert bpe._joined(lists, table).to_pylist() == want
+        assert bpe._joined(lists.slice(1), table).to_pylist() == want[1:]
