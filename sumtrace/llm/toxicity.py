@@ -7,8 +7,10 @@ layer over those gives the score. Everything is trained together by AdaGrad.
 
 Every labelled row counts. A fifth of them, chosen by hash, is kept for calibration, all others are
 trained on in each pass. Rows are turned into word numbers once and dealt by hash of the id into parts of about
-``part_rows`` rows, which lie sorted in files. In a pass each part goes on from the common model by itself,
-and Spark averages the parameters that parts have changed, each over the parts that changed it. Only the
+``part_rows`` rows, which lie sorted in files. Labels are dealt alike and meet their documents within the part, so
+that word numbers are shuffled once. In a pass each part goes on from the common model by itself,
+and Spark averages the parameters that parts have changed, each over the parts that changed it; what a part
+changed is shuffled packed, by the bits that differ from the common model. Only the
 model, whose size is fixed, is broadcast and comes back. The result depends on the rows and on
 ``part_rows``, not on partitions or machines (but for the order of sums of doubles).
 
@@ -45,6 +47,7 @@ from sumtrace.session import cut, uncut
 PART_ROWS = 8192
 FILTER_BITS = 26
 RANGE_ROWS = 50_000
+BLOCK_ROWS = 1024  # of the table of trained numbers, packed together
 BATCH = 16
 BUCKETS = 1 << 16
 DIMENSIONS = 12
@@ -304,7 +307,7 @@ def _lessons(docs: DataFrame, rows: DataFrame, n_parts: int) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"), F.col("doc_id").cast("long").alias("doc_id"))
     filter_ = bitmap.build(rows.select(F.xxhash64("doc_id").alias("hash")), FILTER_BITS)
-    texts = texts.where(bitmap.may_hold(texts, filter_, F.xxhash64("doc_id"))).withColumn("drawn", F.xxhash64("doc_id", "text"))
+    texts = texts.where("doc_id is not null").where(bitmap.may_hold(texts, filter_, F.xxhash64("doc_id"))).withColumn("drawn", F.xxhash64("doc_id", "text"))
 
     def of(batches):
         for batch in batches:
@@ -315,10 +318,15 @@ def _lessons(docs: DataFrame, rows: DataFrame, n_parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
 
     words = texts.mapInArrow(of, "words binary, lang string, doc_id long, drawn long")
-    both = words.join(rows, "doc_id").withColumn("drawn", F.xxhash64("drawn", "toxic"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(n_parts)).cast("int").alias("part")
-    both = both.select(part, (F.pmod("drawn", F.lit(5)) == 4).alias("held"), "drawn", "lang", "toxic", "words")
-    return both.repartition(n_parts, "part").sortWithinPartitions("part", "drawn")  # of its own, as joins may drop one before them
+    both = words.unionByName(rows.select("doc_id", "toxic"), allowMissingColumns=True)
+    both = both.select("*", part).repartition(n_parts, "part")
+    own = Window.partitionBy("part", "doc_id")  # within the parts, so that words are not shuffled again, as by a join
+    times = [F.array_repeat(F.lit(y), F.count_if(F.col("toxic") == y).over(own).cast("int")) for y in (0, 1)]
+    both = both.select("part", "drawn", "lang", "words", F.concat(*times).alias("labels")).where("words is not null")
+    both = both.select("*", F.explode("labels").alias("toxic")).withColumn("drawn", F.xxhash64("drawn", "toxic"))
+    both = both.select("part", (F.pmod("drawn", F.lit(5)) == 4).alias("held"), "drawn", "lang", "toxic", "words")
+    return both.sortWithinPartitions("part", "drawn")
 
 
 def _buckets(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -326,18 +334,39 @@ def _buckets(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1] + BUCKETS
 
 
+def _packed(rows: np.ndarray, own: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(block, cell) of some rows of a table of floats: places in the block, then the bits that differ from the start.
+
+    Bytes of equal rank lie together, which compresses well: the first ones of a float seldom change.
+    """
+    for some in np.split(rows, np.flatnonzero(np.diff(rows // BLOCK_ROWS)) + 1):
+        if len(some):
+            bits = own[some].view(np.uint32) ^ start[some].view(np.uint32)
+            planes = bits.T.reshape(-1, 1).view(np.uint8).T
+            places = (some % BLOCK_ROWS).astype(np.uint16)
+            yield int(some[0] // BLOCK_ROWS), squeeze(places.tobytes() + planes.tobytes())
+
+
+def _unpacked(block: int, cell: bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and whole rows that were packed."""
+    data = np.frombuffer(expand(cell), np.uint8)
+    n = len(data) // (2 + 4 * start.shape[1])
+    rows = data[: 2 * n].view(np.uint16).astype(np.int64) + block * BLOCK_ROWS
+    bits = np.ascontiguousarray(data[2 * n :].reshape(4, -1).T).view(np.uint32).reshape(-1, n).T
+    return rows, (start[rows].view(np.uint32) ^ bits).view(np.float32)
+
+
 def _pass(lessons: DataFrame, values: np.ndarray, squares: np.ndarray, weight: tuple[float, float], rate: float) -> None:
     """Every part trains on its rows from the same start; what they changed is averaged, in place."""
     spark = lessons.sparkSession
-    sent = spark.sparkContext.broadcast((values, squares))
+    sent = spark.sparkContext.broadcast(np.hstack([values, squares]))
     names = [f"{kind}{i}" for kind in "vs" for i in range(DIMENSIONS)]
 
-    def changed(own: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = np.flatnonzero((seen != sent.value[1]).any(axis=1)).astype(np.int32)
-        for at in range(0, len(rows), 8192):
-            some = rows[at : at + 8192]
-            columns = [pa.array(np.ascontiguousarray(c)) for c in (*own[some].T, *seen[some].T)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *columns], names=["row", *names])
+    def changed(part: int, own: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        rows = np.flatnonzero((seen != sent.value[:, DIMENSIONS:]).any(axis=1))
+        cells = list(_packed(rows, np.hstack([own, seen]), sent.value))
+        columns = [pa.array([block for block, _ in cells], pa.int32()), pa.array([part] * len(cells), pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([c for _, c in cells], pa.binary())], names=["block", "part", "cell"])
 
     def of(batches):
         part, batch, own, seen = None, [], None, None
@@ -346,19 +375,40 @@ def _pass(lessons: DataFrame, values: np.ndarray, squares: np.ndarray, weight: t
                 if number != part:
                     if part is not None:
                         _step(own, seen, batch, rate)
-                        yield from changed(own, seen)
-                    part, batch, (own, seen) = number, [], (a.copy() for a in sent.value)
+                        yield changed(part, own, seen)
+                    part, batch = number, []
+                    own, seen = (np.ascontiguousarray(a) for a in np.hsplit(sent.value, 2))
                 batch.append(Lesson(*_buckets(words), toxic, weight[toxic]))
                 if len(batch) == BATCH:
                     _step(own, seen, batch, rate)
                     batch = []
         if part is not None:
             _step(own, seen, batch, rate)
-            yield from changed(own, seen)
+            yield changed(part, own, seen)
 
-    changes = lessons.select("part", "toxic", "words").mapInArrow(of, ", ".join(["row int", *[f"{c} float" for c in names]]))
-    n = F.count("*")
-    means = changes.groupBy("row").agg(*[(F.sum(c) / n).cast("float").alias(c) for c in names]).toArrow()
+    def averaged(block: int, total: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(n)
+        means = (total[some] / n[some, None]).astype(np.float32)
+        columns = [pa.array((some + block * BLOCK_ROWS).astype(np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in means.T]]
+        return pa.RecordBatch.from_arrays(columns, names=["row", *names])
+
+    def mean(batches):
+        block, total, n = None, None, None
+        for cells in batches:
+            for number, cell in zip(cells.column("block").to_pylist(), cells.column("cell").to_pylist()):
+                if number != block:
+                    if block is not None:
+                        yield averaged(block, total, n)
+                    block, total, n = number, np.zeros((BLOCK_ROWS, 2 * DIMENSIONS)), np.zeros(BLOCK_ROWS, np.int64)
+                rows, changes = _unpacked(block, cell, sent.value)
+                total[rows - block * BLOCK_ROWS] += changes
+                n[rows - block * BLOCK_ROWS] += 1
+        if block is not None:
+            yield averaged(block, total, n)
+
+    changes = lessons.select("part", "toxic", "words").mapInArrow(of, "block int, part int, cell binary")
+    changes = changes.repartition("block").sortWithinPartitions("block", "part")
+    means = changes.mapInArrow(mean, ", ".join(["row int", *[f"{c} float" for c in names]])).toArrow()
     rows = means.column("row").to_numpy()
     for kind, into in (("v", values), ("s", squares)):
         for i in range(DIMENSIONS):

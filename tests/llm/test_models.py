@@ -132,6 +132,66 @@ def test_parts_learn_together(spark):
     assert np.allclose(*scores, atol=1e-4)
 
 
+def test_lessons_are_those_of_a_join(spark, odd_docs):
+    """Repeated ids and labels count as often as they occur; each part lies sorted in one partition."""
+    marks = [(4, 1), (4, 0), (4, 0), (5, 0), (6, 0), (6, 1), (1, 1), (2, 0), (7, 1), (99, 1)]
+    rows = spark.createDataFrame(marks, "doc_id long, toxic int").repartition(3)
+    got = [tuple(r) for r in toxicity._lessons(odd_docs, rows, 3).withColumn("at", F.spark_partition_id()).collect()]
+    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)).cast("int")
+    drawn = F.xxhash64(F.xxhash64("doc_id", "text"), "toxic")
+    want = odd_docs.join(rows, "doc_id").select(part, F.pmod(drawn, F.lit(5)) == 4, drawn, "lang", "toxic")
+    want = [tuple(r) for r in want.collect()]
+    assert len(want) > 10 and sorted(want, key=str) == sorted([r[:5] for r in got], key=str)
+    assert len({(r[0], r[6]) for r in got}) == len({r[0] for r in got})
+    assert [r[:3:2] for r in got] == sorted([r[:3:2] for r in got], key=lambda r: ([g[0] for g in got].index(r[0]), r[1]))
+
+
+def test_words_are_shuffled_once(spark, odd_docs):
+    """Also where the labels are too many to be broadcast."""
+    rows = spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = toxicity._lessons(odd_docs, rows, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange") == 1
+
+
+def test_a_pass_averages_what_parts_changed(spark):
+    docs = spark.createDataFrame([(i, text, lang, y) for i, (text, y, lang) in enumerate(toy(300, 7))], "doc_id long, text string, lang string, toxic int")
+    lessons = toxicity._lessons(docs, docs.select("doc_id", "toxic"), 3).cache()
+    values, squares = toxicity._start(11)
+    total, n = np.zeros((len(values), 2 * toxicity.DIMENSIONS)), np.zeros(len(values))
+    for part in range(3):
+        own, seen = values.copy(), squares.copy()
+        rows = [toxicity.Lesson(*toxicity._buckets(r["words"]), r["toxic"], 1.0) for r in lessons.where(f"part = {part}").collect()]
+        for at in range(0, len(rows), toxicity.BATCH):
+            toxicity._step(own, seen, rows[at : at + toxicity.BATCH], 0.1)
+        changed = (seen != squares).any(axis=1)
+        total[changed] += np.hstack([own, seen])[changed]
+        n += changed
+    want = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], np.hstack([values, squares])).astype(np.float32)
+    toxicity._pass(lessons, values, squares, (1.0, 1.0), 0.1)
+    lessons.unpersist()
+    assert n.max() == 3 and (np.hstack([values, squares]) == want).all()
+
+
+def test_changes_are_packed_without_loss():
+    r = np.random.Generator(np.random.PCG64(8))
+    start = (r.standard_normal((3000, 24)) * 0.1).astype(np.float32)
+    rows = np.r_[0, 5:900, 1023, 2048:2900, 2999]  # none in the second block but its neighbours' ends
+    own = start.copy()
+    own[rows] += (r.standard_normal((len(rows), 24)) * 1e-4).astype(np.float32)
+    own[5, :3] = -0.0, np.inf, np.nan
+    cells = list(toxicity._packed(rows, own, start))
+    got = [toxicity._unpacked(block, cell, start) for block, cell in cells]
+    assert [block for block, _ in cells] == [0, 2] and (np.concatenate([g[0] for g in got]) == rows).all()
+    assert (np.concatenate([g[1] for g in got]).view(np.uint32) == own[rows].view(np.uint32)).all()
+    assert sum(len(cell) for _, cell in cells) < 0.75 * own[rows].nbytes
+    assert not list(toxicity._packed(rows[:0], own, start))
+
+
 def test_thresholds_by_ranges_of_logits(spark):
     r = np.random.Generator(np.random.PCG64(2))
     z = np.round(r.standard_normal(900) * 2, 1)  # with ties
