@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrace.functions.exact import exact_sum
-from sumtrace.operators.packed import ROW, Packed, name
+from sumtrace.operators.packed import ROW, Packed, PackedTexts, name, packed_texts
 from sumtrace.operators.terms import (
     SLOTS,
     function_name,
     operands,
     release_terms,
     released,
-    terms,
     value,
 )
 from sumtrace.session import cut
@@ -45,26 +44,42 @@ def term_text() -> Column:
     return F.concat(F.lit("("), F.concat_ws("*", *pieces), F.lit(")"))
 
 
-def render(terms: DataFrame, size: int = 1000) -> DataFrame:
+def render(terms: DataFrame | PackedTexts, size: int = 1000) -> DataFrame:
     """Formula text per function, in pieces of about ``size`` terms.
 
     A function over very many rows gets many pieces; the formula is their sum. Equal
     terms become one with a factor, and terms are spread over pieces by their hash,
     so no piece grows with the table. The struct key spreads the pieces of one
-    function over tasks after the join on the function.
+    function over tasks after the join on the function. Packed terms are written once, packed; which
+    functions have several pieces is written too, and is little, so that the join need not deal the texts.
     """
-    texts = terms.select("fn", term_text().alias("text")).groupBy("fn", "text").count()
-    texts = texts.select(
+    if isinstance(terms, PackedTexts):
+        counts = cut(terms.counts)
+        several = terms.texts(counts).groupBy("fn").agg(F.ceil(F.count("*") / size).alias("several"))
+        several = cut(several.where(F.col("several") > 1))
+        texts = terms.texts(counts).join(several, "fn", "left").withColumn("pieces", F.coalesce("several", F.lit(1).cast("bigint")))
+        return _pieced(_counted(texts, "pieces"))
+    texts = _counted(terms.select("fn", term_text().alias("text")).groupBy("fn", "text").count())
+    pieces = texts.groupBy("fn").agg(F.ceil(F.count("*") / size).alias("pieces"))
+    return _pieced(texts.join(pieces, "fn"))
+
+
+def _counted(texts: DataFrame, *more: str) -> DataFrame:
+    """Equal terms as one with a factor."""
+    return texts.select(
         "fn",
         F.when(F.col("count") == 1, F.col("text"))
         .otherwise(F.concat(F.col("count").cast("string"), F.lit("*"), F.col("text")))
         .alias("text"),
+        *more,
     )
-    pieces = texts.groupBy("fn").agg(F.ceil(F.count("*") / size).alias("pieces"))
+
+
+def _pieced(texts: DataFrame) -> DataFrame:
+    """(fn, piece, pieces, formula) of texts that are to be spread over so many pieces."""
     spread = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint")
     return (
-        texts.join(pieces, "fn")
-        .withColumn("piece", F.pmod(spread, F.col("pieces")))
+        texts.withColumn("piece", F.pmod(spread, F.col("pieces")))
         .groupBy(F.struct("fn", "piece", "pieces").alias("key"))
         .agg(F.array_sort(F.collect_list("text")).alias("texts"))
         .select(
@@ -157,7 +172,7 @@ def released_formulas(tables, names, profile: str = "standard", size: int = 1000
     A formula is the sum of its pieces, however many there are; the value stands beside each. Terms are
     written once and read twice, for the number of pieces and for their texts.
     """
-    texts = render(cut(terms(tables, names, profile)), size)
+    texts = render(packed_texts(tables, names, profile), size)
     return texts.join(released_values(tables, names, profile).select("fn", "value"), "fn").select(
         "fn", "piece", "pieces", "formula", "value"
     )

@@ -8,7 +8,7 @@ import pytest
 from sumtrace import registry
 from sumtrace.operators import jacobian, provenance
 from sumtrace.operators.components import function_components
-from sumtrace.operators.packed import occurrence, packed
+from sumtrace.operators.packed import occurrence, packed, packed_texts
 from sumtrace.operators.report import sizes
 from sumtrace.operators.terms import terms
 from sumtrace.sources.tables import Tables
@@ -99,3 +99,21 @@ def test_components_write_sets_only(spark, odd, monkeypatch):
     monkeypatch.setattr(registry, "cut", lambda df: written.append(df.columns) or real(df))
     registry.queries()["audit_components"](spark, odd.folder).count()
     assert written and not [c for c in written if "var" in c]
+
+
+@pytest.mark.parametrize("size", [1000, 7])
+def test_render(odd, one_by_one, size):
+    found = rows(provenance.render(packed_texts(odd, ALL, "small"), size))
+    assert found == rows(provenance.render(one_by_one, size))
+    assert any("2*(" in r[1] for r in found)
+
+
+def test_render_writes_packed_rows(spark, odd, monkeypatch):
+    """A line is written once, not once for each of its terms, and texts are dealt once."""
+    written = []
+    for module in (provenance, registry):
+        real = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, real=real: written.append(df.columns) or real(df))
+    plan = registry.queries()["prov_render"](spark, odd.folder)._jdf.queryExecution().executedPlan().toString()
+    assert written and not [c for c in written if "var_1" in c]
+    assert len([x for x in plan.splitlines() if "hashpartitioning(" in x]) == 1
