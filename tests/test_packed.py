@@ -117,3 +117,13 @@ def test_render_writes_packed_rows(spark, odd, monkeypatch):
     plan = registry.queries()["prov_render"](spark, odd.folder)._jdf.queryExecution().executedPlan().toString()
     assert written and not [c for c in written if "var_1" in c]
     assert len([x for x in plan.splitlines() if "hashpartitioning(" in x]) == 1
+
+
+def test_formula_files_are_compressed(spark, odd, tmp_path):
+    from sumtrace.sources.results import read_formulas, write_formulas
+
+    written = [("f", 0, 1, '(x8_1_2_3*(100-x9_1_2_3)+"a, b")', 1.5), ("g", 0, 1, "(x7_1_2_3)", None)]
+    df = spark.createDataFrame(written, "fn string, piece long, pieces long, formula string, value double")
+    folder = write_formulas(df, str(tmp_path / "formulas"))
+    assert all(f.name.endswith(".csv.gz") for f in tmp_path.glob("formulas/part-*"))
+    assert rows(read_formulas(spark, folder)) == rows(df)
